@@ -77,7 +77,7 @@ def resolve_family(scores: Column, classes: Column | None, names: Column | None,
         base = F.concat(F.lit("class_"), c.cast("string"))
         return F.coalesce(names[c], base) if names is not None else base
     named = F.transform(top, lambda p: F.struct(nm(p["cls"]).alias("name"), p["score"].cast("double").alias("score")))
-    best = F.element_at(named, 1)
+    best = F.try_element_at(named, F.lit(1))
     fam = (F.when(F.size(named) == 0, F.lit(UNKNOWN_FAMILY))
             .when(F.lit(names is None) | (best["score"] < min_confidence), F.lit(UNKNOWN_FAMILY))
             .otherwise(best["name"]))

@@ -187,7 +187,7 @@ def binary_report(df: DataFrame, threshold: float, y: str = "y", score: str = "s
 def argmax_class(scores: Column, classes: Column | None = None) -> Column:
     """``prj_argmax_class``: index of the first maximum, mapped through ``classes``."""
     idx = F.array_position(scores, F.array_max(scores))
-    return (F.element_at(classes, idx.cast("int")) if classes is not None else idx - 1).cast("int")
+    return (F.try_element_at(classes, idx.cast("int")) if classes is not None else idx - 1).cast("int")
 
 
 def topk_classes(scores: Column, classes: Column | None, k: int) -> Column:

@@ -20,6 +20,8 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # local runs only: the driver JVM is the executor; a cluster sets its own
+    "spark.driver.memory": "12g",
 }
 
 
@@ -29,6 +31,8 @@ def get_session(master: str | None = None, app_name: str = "sigspark",
     if master:
         builder = builder.master(master)
     for k, v in _DEFAULTS.items():
+        if k == "spark.driver.memory" and not (master or "").startswith("local"):
+            continue
         builder = builder.config(k, v)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
