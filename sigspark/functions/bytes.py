@@ -140,23 +140,22 @@ def printable_stats_udf(content: pd.Series) -> pd.DataFrame:
 
 # ---- JVM-side expressions over the counts -------------------------------------------------
 
+def _over_total(counts: Column) -> Column:
+    """counts / sum(counts) with the sum evaluated once (a total referenced
+    inside a lambda would be re-evaluated for every element)."""
+    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    return F.zip_with(counts, F.array_repeat(total, F.size(counts)), lambda x, t: x / t)
+
+
 def entropy_from_counts(counts: Column) -> Column:
     """Shannon entropy (base 2) of a count array (``fn_entropy``); 0 for empty input."""
-    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    return F.coalesce(
-        F.aggregate(
-            F.filter(counts, lambda x: x > 0),
-            F.lit(0.0).cast("double"),
-            lambda acc, x: acc - (x / total) * F.log2(x / total),
-        ),
-        F.lit(0.0),
-    )
+    probs = F.filter(_over_total(counts), lambda p: p > 0)
+    return F.coalesce(F.aggregate(probs, F.lit(0.0).cast("double"), lambda acc, p: acc - p * F.log2(p)), F.lit(0.0))
 
 
 def normalize_counts(counts: Column) -> Column:
     """counts / sum(counts) as float (``vec`` form of histogram blocks)."""
-    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    return F.transform(counts, lambda x: (x / total).cast("float"))
+    return F.transform(_over_total(counts), lambda x: x.cast("float"))
 
 
 def start_bytes(content: Column) -> Column:

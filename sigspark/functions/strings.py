@@ -120,21 +120,46 @@ def printable_strings(content: Column) -> Column:
     return F.regexp_extract_all(text_of_bytes(content), F.lit(PRINTABLE_RUN), 0)
 
 
+_REGEX_META = set("\\.^$*+?{}[]|()")
+
+
+def is_literal(pattern: str) -> bool:
+    return not any(ch in _REGEX_META for ch in pattern)
+
+
 def ioc_counts(strings: Column) -> Column:
-    """Struct of 77 counts: number of strings matching each indicator pattern."""
-    return F.struct(*[
-        F.size(F.filter(strings, _matcher(regex(p, ci)))).cast("bigint").alias(name)
-        for name, p, ci in IOC_PATTERNS
-    ])
+    """Struct of 77 counts: number of strings matching each indicator pattern.
 
+    Patterns without regex syntax are tested with ``contains`` (on the
+    lower-cased string for case-insensitive ones); this is exact because the
+    strings are ASCII (0x20..0x7f) and Java's ``(?i)`` folds ASCII only.
+    Everything else uses ``rlike``."""
+    lowered = F.transform(strings, lambda s: F.lower(s))
+    cols = []
+    for name, p, ci in IOC_PATTERNS:
+        if is_literal(p):
+            src, lit = (lowered, p.lower()) if ci else (strings, p)
+            cols.append(F.size(F.filter(src, _contains(lit))).cast("bigint").alias(name))
+        else:
+            cols.append(F.size(F.filter(strings, _matcher(regex(p, ci)))).cast("bigint").alias(name))
+    return F.struct(*cols)
 
-def _matcher(rx: str):
-    return lambda s: s.rlike(rx)
+
+def _contains(lit: str):
+    return lambda s: s.contains(lit)
 
 
 def ioc_count_map(strings: Column) -> Column:
     """``string_counts`` raw form: name -> count for indicators with count > 0."""
-    counts = ioc_counts(strings)
+    return count_map(ioc_counts(strings))
+
+
+def _matcher(rx: str):
+    return lambda s: s.rlike(rx)
+
+
+def count_map(counts: Column) -> Column:
+    """Indicator-count struct -> map of the non-zero counts."""
     entries = F.array(*[F.struct(F.lit(n).alias("k"), counts[n].alias("v")) for n in IOC_NAMES_SORTED])
     kept = F.filter(entries, lambda e: e["v"] > 0)
     return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["k"], e["v"])))

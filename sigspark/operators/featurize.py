@@ -25,7 +25,9 @@ def add_raw_from_bytes(df: DataFrame, content: str = "content", out: str = "raw_
     allow a Python UDF inside the higher-order functions used later."""
     c = F.col(content)
     d = (df.withColumn("__hist", fb.byte_histogram_udf(c))
-           .withColumn("__ps", fb.printable_stats_udf(c)))
+           .withColumn("__ps", fb.printable_stats_udf(c))
+           # indicator counts as their own column: the map built from them is read 77 times
+           .withColumn("__ioc", fs.ioc_counts(fs.printable_strings(c))))
     if with_byte_entropy:
         d = d.withColumn("__be", fb.byte_entropy_histogram_udf(c))
     hist, ps = F.col("__hist"), F.col("__ps")
@@ -36,8 +38,8 @@ def add_raw_from_bytes(df: DataFrame, content: str = "content", out: str = "raw_
         (F.col("__be") if with_byte_entropy else F.lit(None).cast("array<bigint>")).alias("byteentropy"),
         F.struct(ps["numstrings"].alias("numstrings"), ps["avlength"].alias("avlength"),
                  ps["printabledist"].cast("array<double>").alias("printabledist"), ps["printables"].alias("printables"),
-                 ps["entropy"].alias("entropy"), fs.ioc_count_map(fs.printable_strings(c)).alias("string_counts")).alias("strings"))
-    return d.withColumn(out, raw).drop("__hist", "__ps", "__be")
+                 ps["entropy"].alias("entropy"), fs.count_map(F.col("__ioc")).alias("string_counts")).alias("strings"))
+    return d.withColumn(out, raw).drop("__hist", "__ps", "__be", "__ioc")
 
 
 def vectorize_records(df: DataFrame, raw: str = "raw", blocks: list[str] | None = None, mode: str = "murmur",
