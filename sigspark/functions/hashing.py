@@ -125,7 +125,10 @@ def md5_32(token: Column) -> Column:
 
 
 def feature_hash_sql(pairs: Column, n: int, signed: bool = True) -> Column:
-    """Same bucket rule with ``md5_32`` instead of Murmur3, as one JVM expression."""
+    """Same bucket rule with ``md5_32`` instead of Murmur3, as one JVM expression.
+
+    O(tokens x n) per row: meant for SQL-checkable fixtures and narrow blocks,
+    not for the hot path (use the Arrow Murmur3 hashers there)."""
     def cell(acc, p):
         h = md5_32(p["k"])
         idx = F.when(h == -2147483648, F.lit((2147483647 - (n - 1)) % n)).otherwise(F.abs(h) % n)

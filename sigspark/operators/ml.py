@@ -146,7 +146,9 @@ def train_classifier(df: DataFrame, model_type: str, params: dict | None = None,
         if w is not None:
             split = attach_weight(split, y, w.withColumnRenamed(y, "y") if y != "y" else w)
             weighted = True
-    classes = sorted(int(r[0]) for r in lab.select(y).distinct().collect())   # bounded by the class count
+    from pyspark import StorageLevel
+    split = split.persist(StorageLevel.MEMORY_AND_DISK)   # fit, threshold search and class list reuse it
+    classes = sorted(int(r[0]) for r in split.select(y).distinct().collect())   # bounded by the class count
     frame = _fit_frame(split, y, features).withColumn("is_val_flag", F.col("is_val"))
     n_cls = max(classes) + 1 if classes else 2
     stages = _estimator(model_type, problem_type, d, n_cls, params or {}, weighted)

@@ -486,3 +486,12 @@ WITH lines AS ({record_sql('duckdb')})
 SELECT doc_id, CASE WHEN json_valid(value) THEN json_extract_string(value, '$.label') END AS label,
        CASE WHEN json_valid(value) THEN json_extract_string(value, '$.family') END AS family
 FROM lines WHERE trim(value) <> ''"""
+
+
+def q_srt_reports(spark, sf):
+    """``srt_reports``: a sorted audit table (sorting happens at the sink only)."""
+    return au.label_distribution(_recs(spark, sf)).orderBy("split", "label")
+
+
+QUERIES["srt_reports"] = q_srt_reports
+ORACLE["srt_reports"] = ORACLE["agg_label_dist"]

@@ -219,3 +219,6 @@ SELECT page_id, CAST(least(floor(hh * 2), 15) AS INTEGER) AS hbin, sum(tot) AS n
 """
 ORACLE["ft_vector_assemble"] = _DOC_BYTES + """
 SELECT doc_id, 2568 AS dim, 1.0 AS hist_sum FROM ent"""
+
+QUERIES["ft_assemble"] = q_ft_vector_assemble
+ORACLE["ft_assemble"] = ORACLE["ft_vector_assemble"]

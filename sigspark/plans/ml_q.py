@@ -19,7 +19,7 @@ from ..operators import cascade as cs
 from ..operators import labels as lb
 from ..operators import ml
 from ..operators import splits as sp
-from ..session import scratch_path
+from ..session import checkpoint_dir, scratch_path
 from ..sources import corpus as cp
 from ..sources.tables import table
 
@@ -319,3 +319,21 @@ SELECT y_bin, count(*) AS n, count(DISTINCT y_fam) AS n_families FROM v GROUP BY
   count_if(family = 'unknown') AS n_unknown_family, count_if(error IS NOT NULL) AS n_error FROM res""",
     "sink_scan_csv": SCAN + "SELECT path, family, top_families FROM res",
 }
+
+
+def q_ml_predict_file(spark, sf):
+    """``ml_predict_file``: file bytes -> byte-derived vector blocks -> model scores and labels
+    (binary model trained on the labelled documents)."""
+    from ..operators.featurize import add_raw_from_bytes, vectorize_records
+    blocks = ["general", "histogram", "byteentropy", "strings"]
+    d = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    v = vectorize_records(add_raw_from_bytes(d, "content", "raw"), "raw", blocks).select("doc_id", "features")
+    checkpoint_dir(spark)
+    v = v.checkpoint(eager=True)  # reliable checkpoint in the shared folder: featurise once, train and score from it
+    lab = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("y"))
+    train = v.join(lab, "doc_id").withColumn("sha256", F.col("doc_id").cast("string"))
+    m = ml.train_classifier(train, "logreg", {"maxIter": 30, "regParam": 0.01}, "binary", seed=3)
+    return ml.predict_labels(m, ml.scores_of(m, v)).select("doc_id", "score", "pred")
+
+
+QUERIES["ml_predict_file"] = q_ml_predict_file

@@ -204,3 +204,39 @@ SELECT count_if(lang <> 'en') AS zero_header, count_if(lang <> 'en') AS zero_dat
 }
 _sub = _header_slots() + _datadir_slots() + _auth_slots()
 ORACLE["ft_block_subset"] = f"SELECT doc_id, 116 AS dim, {_sums_sql(_sub)} FROM documents"
+
+
+# ---- hashed blocks in md5 mode -------------------------------------------------------------------
+
+def q_ft_imports_vec(spark, sf):
+    """Imports block (Murmur3 Arrow hashing, 1282 wide) as checksums."""
+    v = pe.assemble(_recs(spark, sf), "raw", ["imports"])
+    return v.select("doc_id", F.size("features").alias("dim"), *_sums(F.col("features")))
+
+
+def q_ft_rich_vec(spark, sf):
+    return _recs(spark, sf).select("doc_id", *_sums(pe.richheader_vec(F.col("raw.richheader"), mode="md5")))
+
+
+def q_ft_section_hash(spark, sf):
+    """Section block incl. the four 50-wide and the 10-wide hashed lists (Murmur3)."""
+    v = pe.assemble(_recs(spark, sf), "raw", ["section"])
+    return v.select("doc_id", F.size("features").alias("dim"), *_sums(F.col("features")))
+
+
+QUERIES.update({"ft_imports_vec": q_ft_imports_vec, "ft_rich_vec": q_ft_rich_vec, "ft_section_hash": q_ft_section_hash})
+
+_HB = """CASE WHEN hh = -2147483648 THEN (2147483647 - ({n} - 1)) % {n} ELSE abs(hh) % {n} END"""
+
+ORACLE["ft_rich_vec"] = f"""
+WITH ws AS (SELECT doc_id, lang, list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 3),
+                                                 lambda x: length(x)) AS v FROM documents),
+p AS (SELECT doc_id, v, unnest(range(0, greatest(len(v) - 1, 0), 2)) AS i FROM ws WHERE lang = 'en'),
+h AS (SELECT doc_id, CAST(v[i + 2] AS DOUBLE) AS val, ('0x' || substr(md5(CAST(v[i + 1] AS VARCHAR)), 1, 8))::BIGINT AS u FROM p),
+b AS (SELECT doc_id, val, {_HB.format(n=32)} AS idx, CASE WHEN hh >= 0 THEN 1.0 ELSE -1.0 END AS sg
+      FROM (SELECT doc_id, val, {MD5_32} AS hh FROM h)),
+a AS (SELECT doc_id, sum(sg * val) AS s, sum((idx + 2) * sg * val) AS w FROM b GROUP BY doc_id)
+SELECT ws.doc_id,
+  round(CASE WHEN lang = 'en' AND len(v) > 0 THEN floor(len(v) / 2) + coalesce(s, 0) ELSE 0 END, 3) AS s1,
+  round(CASE WHEN lang = 'en' AND len(v) > 0 THEN floor(len(v) / 2) + coalesce(w, 0) ELSE 0 END, 3) AS s2
+FROM ws LEFT JOIN a USING (doc_id)"""
