@@ -127,14 +127,15 @@ def is_literal(pattern: str) -> bool:
     return not any(ch in _REGEX_META for ch in pattern)
 
 
-def ioc_counts(strings: Column) -> Column:
+def ioc_counts(strings: Column, lowered: Column | None = None) -> Column:
     """Struct of 77 counts: number of strings matching each indicator pattern.
 
     Patterns without regex syntax are tested with ``contains`` (on the
     lower-cased string for case-insensitive ones); this is exact because the
     strings are ASCII (0x20..0x7f) and Java's ``(?i)`` folds ASCII only.
     Everything else uses ``rlike``."""
-    lowered = F.transform(strings, lambda s: F.lower(s))
+    if lowered is None:
+        lowered = F.transform(strings, lambda s: F.lower(s))
     cols = []
     for name, p, ci in IOC_PATTERNS:
         if is_literal(p):
@@ -145,6 +146,15 @@ def ioc_counts(strings: Column) -> Column:
     return F.struct(*cols)
 
 
+def with_ioc_counts(df, content: str = "content", out: str = "iocs"):
+    """Adds the indicator-count struct, with the strings and their lower-cased
+    copy materialised once as columns (an expression argument would be
+    re-evaluated by every one of the 77 filters)."""
+    d = (df.withColumn("__strs", printable_strings(F.col(content)))
+           .withColumn("__lstrs", F.transform(F.col("__strs"), lambda s: F.lower(s))))
+    return d.withColumn(out, ioc_counts(F.col("__strs"), F.col("__lstrs"))).drop("__strs", "__lstrs")
+
+
 def _contains(lit: str):
     return lambda s: s.contains(lit)
 

@@ -26,8 +26,9 @@ def add_raw_from_bytes(df: DataFrame, content: str = "content", out: str = "raw_
     c = F.col(content)
     d = (df.withColumn("__hist", fb.byte_histogram_udf(c))
            .withColumn("__ps", fb.printable_stats_udf(c))
-           # indicator counts as their own column: the map built from them is read 77 times
-           .withColumn("__ioc", fs.ioc_counts(fs.printable_strings(c))))
+           )
+    # indicator counts as their own column: the map built from them is read 77 times
+    d = fs.with_ioc_counts(d, content, "__ioc")
     if with_byte_entropy:
         d = d.withColumn("__be", fb.byte_entropy_histogram_udf(c))
     hist, ps = F.col("__hist"), F.col("__ps")

@@ -24,8 +24,8 @@ def byte_profile(df: DataFrame, content: str = "content", with_iocs: bool = Fals
     if with_byte_entropy:
         out = out.withColumn("byteentropy", fb.byte_entropy_histogram_udf(c))
     if with_iocs:
-        strings = fs.printable_strings(c)
-        out = out.withColumn("string_counts", fs.ioc_count_map(strings))
+        out = fs.with_ioc_counts(out, content, "__ioc")
+        out = out.withColumn("string_counts", fs.count_map(F.col("__ioc"))).drop("__ioc")
     return out
 
 

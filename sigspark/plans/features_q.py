@@ -99,7 +99,7 @@ def q_ft_strings(spark, sf):
 
 
 def q_ft_string_iocs(spark, sf):
-    p = page_bytes(spark, sf).withColumn("c", fs.ioc_counts(fs.printable_strings(F.col("content"))))
+    p = fs.with_ioc_counts(page_bytes(spark, sf), "content", "c")
     items = F.array(*[F.struct(F.lit(n).alias("name"), F.col("c")[n].alias("count")) for n, _, _ in fs.IOC_PATTERNS])
     return p.select("page_id", F.inline(items)).where("count > 0")
 
