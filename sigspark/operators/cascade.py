@@ -43,12 +43,15 @@ def name_lookup(label_map: DataFrame | None) -> Column | None:
 
 def cascade_predict(df: DataFrame, layer1: Scorer, threshold: float, layer2: Scorer | None = None,
                     label_map: DataFrame | None = None, classes: Column | None = None,
-                    persist: bool = True) -> DataFrame:
+                    persist: bool = False) -> DataFrame:
     """``csc_predict``: is_malware, malware_score, family_id, family_name per row.
 
     ``layer1`` must add ``malware_score``; ``layer2`` must add ``family_scores``
     (ARRAY<DOUBLE>). family_id / family_name are NULL for benign rows; the
     name is NULL when the id is not in the map (cascade semantics).
+    Layer 1 is deterministic, so without ``persist`` the two complementary
+    branches recompute it consistently; with ``persist`` the caller owns the
+    cached frame (``unpersist`` it after use).
     """
     s1 = layer1(df).withColumn("is_malware", (F.col("malware_score") >= F.lit(threshold)).cast("int"))
     if persist:
@@ -87,12 +90,13 @@ def resolve_family(scores: Column, classes: Column | None, names: Column | None,
 
 def scan_results(features: DataFrame, layer1: Scorer, threshold: float, layer2: Scorer | None = None,
                  label_map: DataFrame | None = None, classes: Column | None = None, top_k: int = 3,
-                 min_confidence: float = 0.05, errors: DataFrame | None = None) -> DataFrame:
+                 min_confidence: float = 0.05, errors: DataFrame | None = None, persist: bool = False) -> DataFrame:
     """``csc_scan``: ScanResult rows. ``features`` has path, sha256, size, is_pe and
     what the scorers need; ``errors`` has (path, size, error) rows kept as they
     are. Benign -> family NULL; malware without layer 2 -> ``unknown``."""
-    s1 = (layer1(features).withColumn("is_malware", F.col("malware_score") >= F.lit(threshold))
-          .persist(StorageLevel.MEMORY_AND_DISK))
+    s1 = layer1(features).withColumn("is_malware", F.col("malware_score") >= F.lit(threshold))
+    if persist:
+        s1 = s1.persist(StorageLevel.MEMORY_AND_DISK)
     names = name_lookup(label_map)
     keep = ["path", "sha256", "size", "is_pe", "is_malware", "malware_score"]
     benign = s1.where(~F.col("is_malware")).select(
