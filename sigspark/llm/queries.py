@@ -4,15 +4,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe, packing, token_files
-from sigspark.llm.frames import documents
+from sigspark.llm import bpe, langid, licenses, packing, quality, token_files
+from sigspark.llm.frames import crc_mod, documents
 from sigspark.llm.tokenization import tokenizer_path
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.train(docs.filter(crc_mod("doc_id", 3) != 1))
+    return langid.predict(docs, model, carry={
+        "doc_id": F.col("doc_id"), "held_out": F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))})
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(documents(spark, sf_dir))).withColumnRenamed("doc", "doc_id")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")).withColumnRenamed("doc", "doc_id")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+
+
 def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     coded = bpe.encode_documents(documents(spark, sf_dir), path)
@@ -26,7 +42,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_quality_rules": op5_quality_rules,
     "op8_bpe_tree": op8_bpe_tree,
     "op10_token_files": op10_token_files,
 }
