@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe, langid, licenses, packing, quality, token_files
+from sigspark.llm import bpe, langid, licenses, packing, quality, token_files, topk
 from sigspark.llm.frames import crc_mod, documents
 from sigspark.llm.tokenization import tokenizer_path
 
@@ -29,6 +29,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
+def op6_topk_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(rows, F.col("vec_id") % 100 == 0)
+
+
 def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     coded = bpe.encode_documents(documents(spark, sf_dir), path)
@@ -46,9 +51,24 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_topk_voronoi": op6_topk_voronoi,
     "op8_bpe_tree": op8_bpe_tree,
     "op10_token_files": op10_token_files,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_topk_voronoi": """
+WITH v AS (
+    SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS vec
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
+           CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.vec, d.vec)]) AS BIGINT) AS score
+    FROM v q JOIN v d ON q.vec_id <> d.vec_id
+    WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10""",
+}
