@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe, langid, licenses, packing, quality, token_files, topk
+from sigspark.llm import bpe, langid, licenses, packing, quality, suffix_dedup, token_files, topk
 from sigspark.llm.frames import crc_mod, documents
 from sigspark.llm.tokenization import tokenizer_path
 
@@ -34,6 +34,13 @@ def op6_topk_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 100 == 0)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove(documents(spark, sf_dir).select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     coded = bpe.encode_documents(documents(spark, sf_dir), path)
@@ -52,6 +59,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_topk_voronoi": op6_topk_voronoi,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_bpe_tree": op8_bpe_tree,
     "op10_token_files": op10_token_files,
 }
