@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe, langid, licenses, packing, quality, suffix_dedup, token_files, topk
+from sigspark.llm import bpe, langid, licenses, near_dedup, ngram_lm, packing, quality, suffix_dedup, token_files, topk
 from sigspark.llm.frames import crc_mod, documents
 from sigspark.llm.tokenization import tokenizer_path
 
@@ -24,6 +24,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")).withColumnRenamed("doc", "doc_id")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.classes(documents(spark, sf_dir))
+    return found.select(F.col("doc").alias("doc_id"), "class_id", "class_size", "class_key")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
@@ -47,6 +52,12 @@ def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(coded, path).withColumnRenamed("doc", "doc_id")
 
 
+def op9_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = crc_mod("doc_id", 5)
+    return ngram_lm.score(documents(spark, sf_dir).select("doc_id", "text"), rest != 1, carry={
+        "doc_id": F.col("doc_id"), "held_out": F.coalesce(rest == 1, F.lit(False))})
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write_token_files(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=1)
     rows = token_files.read_token_files(spark, path)
@@ -57,10 +68,12 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_near_dedup": op4_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_topk_voronoi": op6_topk_voronoi,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_bpe_tree": op8_bpe_tree,
+    "op9_ngram_scores": op9_ngram_scores,
     "op10_token_files": op10_token_files,
 }
 
