@@ -12,6 +12,7 @@ so agreement on both sides makes the joined ids exact.
 """
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,10 +112,18 @@ def _cut_document(encoder: TextEncoder, data: bytes, segment_bytes: int, leaf_by
     return parts
 
 
+def ids_as_binary(tokenizer: str, ids: np.ndarray, off: np.ndarray) -> list[pa.Array]:
+    return [_binary_rows(ids, off)]
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, doc_col: str = "doc_id", text_col: str = "text",
-                     segment_bytes: int = 64 << 10, leaf_bytes: int = 2 << 10) -> DataFrame:
+                     segment_bytes: int = 64 << 10, leaf_bytes: int = 2 << 10,
+                     finish=ids_as_binary, finish_schema: str = "ids binary") -> DataFrame:
     """doc and ids (little-endian unsigned 32-bit) of every document.
 
+    ``finish(tokenizer, ids, row offsets)`` may turn a batch's ids into other
+    columns (``finish_schema``) in the same pass.
+
     Null or empty text has no ids. Repeated rows come out once each. Ids equal
     those of the library's encoder with add_special_tokens=False. The tokenizer
     must be byte-level without a normaliser.
@@ -124,14 +133,16 @@ def encode_documents(docs: DataFrame, tokenizer: str, doc_col: str = "doc_id", t
     base = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
     is_long = F.coalesce(F.octet_length("text") > segment_bytes, F.lit(False))
 
+    names = ["doc", *[c.split()[0] for c in finish_schema.split(", ")]]
+
     def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(tokenizer)
         for whole in batches:
-            for batch in slices(whole, "text"):
-                yield pa.RecordBatch.from_arrays([batch.column(0), _binary_rows(*encoder.encode_column(batch.column(1)))],
-                                                 names=["doc", "ids"])
+            for batch in slices(whole, "text", 2 << 20):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *finish(tokenizer, *encoder.encode_column(batch.column(1)))], names=names)
 
-    short = base.filter(~is_long).mapInArrow(encode_rows, f"doc {kind}, ids binary")
+    short = base.filter(~is_long).mapInArrow(encode_rows, f"doc {kind}, {finish_schema}")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(tokenizer)
@@ -196,12 +207,13 @@ def encode_documents(docs: DataFrame, tokenizer: str, doc_col: str = "doc_id", t
         if most == 1:
             done = done.unionByName(tree.drop("leaves"))
 
-    def whole_document(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        return pd.DataFrame({"doc": pdf["doc"].iloc[:1], "ids": [b"".join(pdf["ids"])]})
+    def whole_document(table: pa.Table) -> pa.Table:
+        table = table.sort_by("seq")
+        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), "<u4")
+        return pa.Table.from_arrays([table.column("doc").slice(0, 1), *finish(tokenizer, ids, np.array([0, len(ids)]))], names=names)
 
     # a group is one document, which was one value of the input
-    long = done.groupBy("row").applyInPandas(whole_document, f"doc {kind}, ids binary")
+    long = done.groupBy("row").applyInArrow(whole_document, f"doc {kind}, {finish_schema}")
     return short.unionByName(long)
 
 
@@ -216,6 +228,7 @@ class Decoder:
         for i, t in encoder.tokenizer.get_added_tokens_decoder().items():
             table[i] = t.content.encode("utf-8")
         self.table = pa.array(table, pa.large_binary())
+        self.decimal = [str(i) for i in range(size)]
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> list[str]:
         """Texts of rows of ids; bytes that are not UTF-8 become the replacement character."""
@@ -254,25 +267,24 @@ def decode_documents(coded: DataFrame, tokenizer: str) -> DataFrame:
     return coded.mapInArrow(decode_rows, f"doc {kind}, text string")
 
 
-def digests(coded: DataFrame, tokenizer: str) -> DataFrame:
-    """doc, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 of encoded rows."""
-    import hashlib
-    kind = coded.schema["doc"].dataType.simpleString()
+DIGEST_SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digest_rows(tokenizer: str, ids: np.ndarray, off: np.ndarray) -> list[pa.Array]:
+    """n_tokens, sha256 of the decimal ids joined by commas, and sha256 of the decoded text of each row."""
+    decoder = worker_decoder(tokenizer)
+    texts = decoder.decode(ids, off)
+    shas = []
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+        sha = hashlib.sha256()
+        for at in range(a, b, 1 << 16):
+            sha.update(("," if at > a else "").encode())
+            sha.update(",".join([decoder.decimal[i] for i in ids[at: min(b, at + (1 << 16))].tolist()]).encode())
+        shas.append(sha.hexdigest())
+    return [pa.array(np.diff(off), pa.int64()), pa.array(shas, pa.string()),
+            pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts], pa.string())]
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = worker_decoder(tokenizer)
-        decimal = [str(i) for i in range(len(decoder.table))]
-        for whole in batches:
-            for batch in slices(whole, "ids"):
-                ids, off = id_rows(batch.column(1))
-                texts = decoder.decode(ids, off)
-                listed = ids.tolist()
-                bounds = off.tolist()
-                shas = [hashlib.sha256(",".join([decimal[i] for i in listed[a:b]]).encode()).hexdigest()
-                        for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.diff(off), pa.int64()), pa.array(shas),
-                     pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts])],
-                    names=["doc", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return coded.mapInArrow(digest, f"doc {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(docs: DataFrame, tokenizer: str, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, n_tokens, ids_sha256 and decoded_sha256 of every document."""
+    return encode_documents(docs, tokenizer, doc_col, text_col, finish=digest_rows, finish_schema=DIGEST_SCHEMA)

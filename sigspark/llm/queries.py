@@ -47,9 +47,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path("byte_bpe_50k.json")
-    coded = bpe.encode_documents(documents(spark, sf_dir), path)
-    return bpe.digests(coded, path).withColumnRenamed("doc", "doc_id")
+    return bpe.digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")).withColumnRenamed("doc", "doc_id")
 
 
 def op9_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

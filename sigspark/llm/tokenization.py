@@ -18,7 +18,7 @@ import pyarrow as pa
 from sigspark.llm.text import column_buffer, lower_ascii, ranges
 
 #: Pieces remembered by one Python worker; beyond it the memory is cleared.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 
 _SPACE, _LETTER, _DIGIT, _SIGN, _HIGH, _OTHER = range(6)
 _KIND = np.full(256, _OTHER, np.uint8)
