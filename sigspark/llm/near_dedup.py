@@ -391,19 +391,45 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def node_classes(member: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """node, label, class_id, class_size and n_first of every node of ``member`` (doc, node)."""
+    found = components(links(texts, settings))
+    copies = member.filter(F.col("node").isNotNull()).groupBy("node", "doc").agg(F.count(F.lit(1)).alias("n"))
+    named = written(copies.join(found, "node", "left").select("node", "doc", "n", F.coalesce("label", "node").alias("label")), "copies")
+    sizes = written(named.groupBy("label").agg(F.min("doc").alias("class_id"), F.sum("n").alias("class_size")), "classes")
+    firsts = (named.join(sizes, "label").filter(F.col("doc").eqNullSafe(F.col("class_id")))
+              .groupBy("label").agg(F.sum("n").alias("n_first")))
+    return named.select("node", "label").distinct().join(sizes.join(firsts, "label", "left"), "label")
+
+
 def classes(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """doc, class_id (smallest id of the class), class_size, class_key and n_first (rows with the class id) of every row."""
+    """doc, class_id (smallest id of the class), class_size and class_key of every row."""
     member = written(memberships(docs, doc_col, text_col, settings), "members")
-    found = components(links(docs.select(F.col(text_col).alias("text")), settings))
-    # rows without a node are classes of their own
-    named = member.filter(F.col("node").isNotNull()).join(found, "node", "left").select("doc", F.coalesce("label", "node").alias("label"))
-    counted = named.groupBy("label", "doc").agg(F.count(F.lit(1)).alias("n"))
-    sizes = written(counted.groupBy("label").agg(F.min("doc").alias("class_id"), F.sum("n").alias("class_size")), "classes")
-    firsts = (counted.join(sizes, "label").filter(F.col("doc").eqNullSafe(F.col("class_id")))
-              .groupBy("label").agg(F.sum("n").alias("n_first")))
-    summary = sizes.join(firsts, "label", "left")
-    grouped = named.join(summary, "label").select("doc", "class_id", "class_size", F.hex("label").alias("class_key"), "n_first")
+    table = node_classes(member, docs.select(F.col(text_col).alias("text")), settings)
+    grouped = member.join(table, "node").select("doc", "class_id", "class_size", F.hex("label").alias("class_key"))
     alone = member.filter(F.col("node").isNull()).select(
-        "doc", F.col("doc").alias("class_id"), F.lit(1).cast("long").alias("class_size"),
-        F.lit(None).cast("string").alias("class_key"), F.lit(1).cast("long").alias("n_first"))
+        "doc", F.col("doc").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("string").alias("class_key"))
     return grouped.unionByName(alone)
+
+
+def keep_first(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """One row of each class, with all its columns: the smallest id, any one of equal rows with that id."""
+    member = written(memberships(docs, doc_col, text_col, settings), "members")
+    table = written(node_classes(member, docs.select(F.col(text_col).alias("text")), settings), "node-classes")
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    base = docs.select(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in place.items()])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                _, _, names = shingles(batch.column(0), settings.shingle)
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.binary())], names=[*batch.schema.names[1:], "node"])
+
+    marked = base.mapInArrow(name, base.drop("text").schema.add("node", "binary"))
+    firsts = (marked.join(table, "node", "left")
+              .filter(F.col("node").isNull() | F.col(place[doc_col]).eqNullSafe(F.col("class_id"))))
+    once = firsts.filter(F.col("node").isNull() | (F.col("n_first") == 1))
+    repeated = firsts.filter(F.col("n_first") > 1)
+    if table.filter("n_first > 1").take(1):
+        once = once.unionByName(repeated.dropDuplicates(["label"]))
+    return once.select(*[F.col(n).alias(c) for c, n in place.items()])

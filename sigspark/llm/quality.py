@@ -128,6 +128,9 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_doc
     total = F.aggregate(_features(), F.lit(0.0), lambda a, h: a + F.get(TMP + "ratios", F.pmod(h, F.lit(buckets)).cast("int")))
     grams = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
     frame = frame.withColumn("llr", total / grams)
+    # always true, but not deterministic for the optimiser: a filter on the result is not
+    # pushed below, where it would repeat the nested array expressions many times over
+    here = F.monotonically_increasing_id() >= 0
     return frame.select(*[F.col(f"`{c}`") for c in columns], "n_words", "word_chars", "n_symbols", "n_dup_lines",
                         "n_repeat_words", "base_failed", "llr",
-                        (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"))
+                        (~F.col("base_failed") & (F.col("llr") >= threshold) & here).alias("kept"))
