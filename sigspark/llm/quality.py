@@ -27,7 +27,7 @@ BUCKETS = 1 << 16
 #: Most labelled documents that the target is fitted on.
 TARGET_DOCS = 16_384
 #: Mean log ratio (nats per n-gram) from which a document is kept.
-THRESHOLD = -0.6
+THRESHOLD = -0.35
 
 WHITE = "\t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -119,8 +119,9 @@ def ratio_table(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, targ
 
 def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS,
           threshold: float = THRESHOLD, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the measures, ``llr`` and ``kept``."""
-    columns = docs.columns
+    """All columns of ``docs`` with the measures, ``llr`` and ``kept``; columns of these names are replaced."""
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+    columns = [c for c in docs.columns if c not in made]
     table = ratio_table(docs, labels, buckets, target_docs, doc_col, text_col)
     ratios = table.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "ratio"))),
                                    lambda x: x["ratio"]).alias("ratios"))       # buckets entries, whatever the corpus
