@@ -26,8 +26,10 @@ from sigspark.llm.frames import TMP
 BUCKETS = 1 << 16
 #: Most labelled documents that the target is fitted on.
 TARGET_DOCS = 16_384
+#: Pseudo-count of every n-gram in the target.
+PRIOR = 5.0
 #: Mean log ratio (nats per n-gram) from which a document is kept.
-THRESHOLD = -0.35
+THRESHOLD = -0.25
 
 WHITE = "\t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -98,7 +100,11 @@ def trusted_ids(labels: DataFrame, target_docs: int = TARGET_DOCS) -> DataFrame:
 
 def ratio_table(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS,
                 doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """bucket, target and raw counts, and ratio: ln of target over raw probability, add-one smoothed."""
+    """bucket, target and raw counts, and ratio: ln of target over raw probability.
+
+    Both multinomials get pseudo-counts in proportion to their size (``PRIOR`` for the target), so
+    n-grams that are rare in a corpus of any size say little.
+    """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_col).alias(TMP + "doc"), F.col(text_col).alias("text"))
     trusted = trusted_ids(labels, target_docs).withColumn(TMP + "good", F.lit(1))
@@ -113,8 +119,8 @@ def ratio_table(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, targ
     n_target, n_raw = int(totals[0] or 0), int(totals[1] or 0)
     if not n_target:
         return dense.withColumn("ratio", F.lit(0.0))
-    return dense.withColumn("ratio", F.log((F.col("target") + 1) / F.lit(float(n_target + buckets)))
-                            - F.log((F.col("raw") + 1) / F.lit(float(n_raw + buckets))))
+    expected = F.col("raw") * F.lit(n_target / n_raw)
+    return dense.withColumn("ratio", F.log((F.col("target") + F.lit(PRIOR)) / (expected + F.lit(PRIOR))))
 
 
 def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS,
