@@ -177,7 +177,7 @@ class TokenFile:
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, doc_col: str = "doc_id",
                       text_col: str = "text", block: int = 1024, percentile: float = 0.95,
-                      file_ids: int = 8 << 20) -> str:
+                      file_ids: int = 2 << 20) -> str:
     """Encodes the documents, appends ``end_id`` to each, and writes files in ascending doc id order; the folder.
 
     Null doc ids come first, equal ids in order of their text. A file holds
@@ -210,7 +210,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
             return row
 
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 2 << 20):
                 flat, off = encoder.encode_column(batch.column(1))
                 rows = batch.num_rows
                 ids = np.full(len(flat) + rows, end_id, np.uint32)
