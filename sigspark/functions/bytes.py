@@ -144,7 +144,7 @@ def _over_total(counts: Column) -> Column:
     """counts / sum(counts) with the sum evaluated once (a total referenced
     inside a lambda would be re-evaluated for every element)."""
     total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    return F.zip_with(counts, F.array_repeat(total, F.size(counts)), lambda x, t: x / t)
+    return F.zip_with(counts, F.array_repeat(total, F.size(counts)), lambda x, t: F.try_divide(x, t))
 
 
 def entropy_from_counts(counts: Column) -> Column:
@@ -154,8 +154,8 @@ def entropy_from_counts(counts: Column) -> Column:
 
 
 def normalize_counts(counts: Column) -> Column:
-    """counts / sum(counts) as float (``vec`` form of histogram blocks)."""
-    return F.transform(_over_total(counts), lambda x: x.cast("float"))
+    """counts / sum(counts) as float (``vec`` form of histogram blocks); zeros for a zero total."""
+    return F.transform(_over_total(counts), lambda x: F.coalesce(x, F.lit(0.0)).cast("float"))
 
 
 def start_bytes(content: Column) -> Column:
@@ -169,7 +169,8 @@ def start_bytes(content: Column) -> Column:
 def is_pe_guess(content: Column) -> Column:
     """1 when the bytes carry an MZ header whose e_lfanew points at 'PE\\0\\0'."""
     lfanew = F.conv(F.concat(*[F.hex(F.substring(content, 61 + i, 1)) for i in (3, 2, 1, 0)]), 16, 10).cast("bigint")
-    sig = F.hex(F.substring(content, (lfanew + 1).cast("int"), 4))
+    # a hostile offset points behind the end: bounded before the cast, it finds nothing there
+    sig = F.hex(F.substring(content, (F.least(lfanew, F.length(content).cast("bigint")) + 1).cast("int"), 4))
     return F.when(
         (F.hex(F.substring(content, 1, 2)) == "4D5A") & (F.length(content) >= 64) & (sig == "50450000"), 1
     ).otherwise(0)

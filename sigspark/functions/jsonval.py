@@ -42,8 +42,8 @@ def as_object(v: Column) -> Column:
 def value_shape(v: Column) -> Column:
     """``prj_value_shape``: none / string / bool / int / float / list / dict.
 
-    DECIMAL with scale 0 is an integer literal; with a fraction it is a float.
-    (A literal like ``1.0`` parses as DECIMAL(1,0) and is reported as int.)
+    A literal like ``1.0`` parses as a DECIMAL of scale 0 that would fit a BIGINT, an
+    integer literal only as one beyond BIGINT; so a small one is a float.
     """
     s = F.schema_of_variant(v)
     t = vtype(v)
@@ -51,13 +51,17 @@ def value_shape(v: Column) -> Column:
              .when(t == "STRING", "string")
              .when(t == "BOOLEAN", "bool")
              .when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "int")
-             .when((t == "DECIMAL") & s.rlike(r",\s*0\)$"), "int")
+             .when((t == "DECIMAL") & s.rlike(r",\s*0\)$") & (F.abs(as_double(v)) >= float(1 << 63)), "int")
              .when(t.isin("DECIMAL", "DOUBLE", "FLOAT"), "float")
              .when(t == "ARRAY", "list")
              .when(t == "OBJECT", "dict")
              .otherwise(F.lower(t)))
 
 
+#: Levels of nested lists that ``normalize_labels`` flattens.
+LIST_LEVELS = 6
+
+
 def _trimmed(s: Column) -> Column:
     return F.regexp_replace(s, _WS, "")
 
@@ -92,14 +96,19 @@ def detection_ratio(v: Column) -> Column:
 
 
 def _num(s: Column) -> Column:
-    return _trimmed(s).try_cast("double")
+    """A decimal number text as DOUBLE; NULL for Java's suffixed literals such as ``5f``."""
+    t = _trimmed(s)
+    number = t.rlike(r"(?i)^[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)$")
+    return F.when(number, t.try_cast("double"))
 
 
 def _py_str(v: Column) -> Column:
     """str() of a scalar the way the reference prints it (True/False capitalised)."""
     t = vtype(v)
     return (F.when(t == "BOOLEAN", F.initcap(as_string(v)))
-             .when(t == "STRING", as_string(v))
+             .when((t == "DECIMAL") & (value_shape(v) == "float") & ~as_string(v).contains("."),
+                   F.concat(as_string(v), F.lit(".0")))
+             .when(t == "DOUBLE", F.regexp_replace(F.regexp_replace(as_string(v), r"(\.0)?E(\d)", "e+$2"), r"(\.0)?E-", "e-"))
              .otherwise(as_string(v)))
 
 
@@ -125,13 +134,13 @@ def _scalar_or_dict_labels(v: Column) -> Column:
 
 def normalize_labels(v: Column) -> Column:
     """``prj_normalize_labels``: scalar -> [str]; object -> true keys / k=v for non-zero
-    numbers / keys with non-empty values; arrays flattened (two levels), empties dropped."""
-    t = vtype(v)
-
-    def elem(e):
-        et = vtype(e)
-        inner = F.flatten(F.transform(as_array(e), _scalar_or_dict_labels))
-        return F.when(et == "ARRAY", inner).otherwise(_scalar_or_dict_labels(e))
-
-    from_list = F.filter(F.flatten(F.transform(as_array(v), elem)), lambda x: x != "")
-    return F.when(t == "ARRAY", from_list).otherwise(_scalar_or_dict_labels(v))
+    numbers / keys with non-empty values; arrays flattened to ``LIST_LEVELS`` levels, empties
+    dropped. A list nested deeper raises rather than losing its labels."""
+    def labels(e, levels):
+        if not levels:
+            deep = F.raise_error(F.lit(f"label list nested deeper than {LIST_LEVELS} levels")).cast("array<string>")
+            return F.when(vtype(e) == "ARRAY", deep).otherwise(_scalar_or_dict_labels(e))
+        inner = F.flatten(F.transform(as_array(e), lambda x: labels(x, levels - 1)))
+        return F.when(vtype(e) == "ARRAY", inner).otherwise(_scalar_or_dict_labels(e))
+
+    return F.when(vtype(v) == "ARRAY", F.filter(labels(v, LIST_LEVELS), lambda x: x != "")).otherwise(_scalar_or_dict_labels(v))

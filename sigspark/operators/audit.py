@@ -64,7 +64,7 @@ def parse_records(lines: DataFrame, value: str = "value") -> DataFrame:
     """Non-blank lines parsed to ``rec VARIANT`` (NULL for a malformed line),
     plus the fields every report needs."""
     fn = parse_filename(F.col("file_name")) if "file_name" in lines.columns else None
-    df = lines.where(F.trim(F.col(value)) != "").withColumn("rec", F.try_parse_json(F.col(value)))
+    df = lines.where(F.col(value).rlike(r"\S")).withColumn("rec", F.try_parse_json(F.col(value)))
     if fn is not None:
         df = df.withColumn("fn", fn)
     return df
@@ -133,20 +133,24 @@ def label_distribution(recs: DataFrame) -> DataFrame:
     return c.withColumn("ratio", F.col("count") / F.sum("count").over(w))
 
 
-def label_pivot(recs: DataFrame) -> DataFrame:
-    """``agg_label_pivot``: split x label counts, 0-filled."""
-    lab = F.coalesce(F.col("label_s"), F.lit("null"))
-    p = recs.withColumn("__l", lab).groupBy("split").pivot("__l", ["0", "1", "null"]).count().fillna(0)
-    return p.select("split", *[F.col(v).cast("bigint").alias(f"n_label_{v}") for v in ["0", "1", "null"]])
+def label_pivot(recs: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """``agg_label_pivot``: split x label counts, 0-filled; one column for each label that occurs
+    (``labels`` fixes the columns instead)."""
+    d = recs.select("split", F.coalesce(F.col("label_s"), F.lit("null")).alias("__l"))
+    counts = d.groupBy("split", "__l").count()
+    if labels is None:
+        labels = sorted(r[0] for r in counts.select("__l").distinct().collect())
+    return counts.groupBy("split").agg(*[
+        F.coalesce(F.sum(F.when(F.col("__l") == v, F.col("count"))), F.lit(0)).cast("bigint").alias(f"n_label_{v}") for v in labels])
 
 
-def filetype_distribution(recs: DataFrame, top: int = 12) -> DataFrame:
-    """``agg_filetype_dist``: top file types per split with count and ratio."""
+def filetype_distribution(recs: DataFrame, top: int | None = None) -> DataFrame:
+    """``agg_filetype_dist``: file types per split with count, ratio and rank (``top`` of them, for a chart)."""
     c = recs.groupBy("split", "file_type").agg(F.count("*").alias("count"))
     w = Window.partitionBy("split")
     r = Window.partitionBy("split").orderBy(F.col("count").desc(), F.col("file_type").asc_nulls_last())
-    return (c.withColumn("ratio", F.col("count") / F.sum("count").over(w))
-             .withColumn("rank", F.row_number().over(r)).where(F.col("rank") <= top))
+    ranked = c.withColumn("ratio", F.col("count") / F.sum("count").over(w)).withColumn("rank", F.row_number().over(r))
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 def week_timeline(recs: DataFrame) -> DataFrame:
@@ -154,13 +158,14 @@ def week_timeline(recs: DataFrame) -> DataFrame:
     return recs.groupBy("split", "week").agg(F.count("*").alias("count"))
 
 
-def week_type_pivot(recs: DataFrame, split: str, file_types: list[str] | None = None) -> DataFrame:
-    """``agg_week_type_pivot``: week x file_type counts for one split, 0-filled,
-    rows with no week or no type left out (as a pandas pivot_table does)."""
-    base = recs.where((F.col("split") == split) & F.col("week").isNotNull() & F.col("file_type").isNotNull())
-    g = base.groupBy("week")
-    p = (g.pivot("file_type", file_types) if file_types else g.pivot("file_type")).count()
-    return p.fillna(0).orderBy("week")
+def week_type_pivot(recs: DataFrame, file_types: list[str] | None = None) -> DataFrame:
+    """``agg_week_type_pivot``: (split, week) x file_type counts, 0-filled; rows with no week or no
+    type are left out (as a pandas pivot_table does)."""
+    base = recs.where(F.col("week").isNotNull() & F.col("file_type").isNotNull()).groupBy("split", "week", "file_type").count()
+    if file_types is None:
+        file_types = sorted(r[0] for r in base.select("file_type").distinct().collect())
+    return base.groupBy("split", "week").agg(*[
+        F.coalesce(F.sum(F.when(F.col("file_type") == t, F.col("count"))), F.lit(0)).cast("bigint").alias(t) for t in file_types])
 
 
 # ---- coverage ----------------------------------------------------------------------------------

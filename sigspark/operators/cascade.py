@@ -11,61 +11,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
 from .metrics import argmax_class, topk_classes
 
 Scorer = Callable[[DataFrame], DataFrame]
 
 UNKNOWN_FAMILY = "unknown"
-# Largest label map turned into a literal lookup map inside the plan.
-NAME_MAP_MAX = 200_000
-
 TOP_FAMILIES_TYPE = T.ArrayType(T.StructType([T.StructField("name", T.StringType()),
                                               T.StructField("score", T.DoubleType())]))
 
 
 def name_lookup(label_map: DataFrame | None) -> Column | None:
-    """Literal id -> name map from a (label, id) table whose size is checked first."""
+    """Names by id as one array of (id, label), from a scalar subquery over the (label, id) table.
+
+    The table has one row for each class of the model, as many as the score array of every row.
+    """
     if label_map is None:
         return None
-    n = label_map.count()
-    if n == 0:
-        return None
-    if n > NAME_MAP_MAX:
-        raise ValueError(f"label map has {n} entries, above the {NAME_MAP_MAX} literal-map bound")
-    pairs = label_map.select("id", "label").collect()
-    return F.create_map(*[x for r in pairs for x in (F.lit(int(r["id"])), F.lit(r["label"]))])
+    rows = label_map.where(F.col("id").isNotNull()).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("id").cast("int").alias("id"), "label"))).alias("names"))
+    return rows.scalar()
+
+
+def name_of(names: Column, cls: Column) -> Column:
+    """Label of a class id: at its place where ids are dense, else by search; NULL when missing."""
+    here = F.get(names, cls)
+    return F.when(here["id"] == cls, here["label"]).otherwise(F.get(F.filter(names, lambda x: x["id"] == cls), F.lit(0))["label"])
 
 
 def cascade_predict(df: DataFrame, layer1: Scorer, threshold: float, layer2: Scorer | None = None,
-                    label_map: DataFrame | None = None, classes: Column | None = None,
-                    persist: bool = False) -> DataFrame:
+                    label_map: DataFrame | None = None, classes: Column | None = None) -> DataFrame:
     """``csc_predict``: is_malware, malware_score, family_id, family_name per row.
 
     ``layer1`` must add ``malware_score``; ``layer2`` must add ``family_scores``
     (ARRAY<DOUBLE>). family_id / family_name are NULL for benign rows; the
     name is NULL when the id is not in the map (cascade semantics).
-    Layer 1 is deterministic, so without ``persist`` the two complementary
-    branches recompute it consistently; with ``persist`` the caller owns the
-    cached frame (``unpersist`` it after use).
+    A row without a score has a NULL verdict and is kept. Layer 1 runs once: its
+    output is written to the shared folder and both branches read it.
     """
-    s1 = layer1(df).withColumn("is_malware", (F.col("malware_score") >= F.lit(threshold)).cast("int"))
-    if persist:
-        s1 = s1.persist(StorageLevel.MEMORY_AND_DISK)
+    s1 = materialise(layer1(df).withColumn("is_malware", (F.col("malware_score") >= F.lit(threshold)).cast("int")), "layer1")
     names = name_lookup(label_map)
-    benign = s1.where(F.col("is_malware") == 0).withColumn("family_id", F.lit(None).cast("int"))
-    mal = s1.where(F.col("is_malware") == 1)
+    flagged = F.coalesce(F.col("is_malware") == 1, F.lit(False))
+    rest = s1.where(~flagged).withColumn("family_id", F.lit(None).cast("int"))
+    mal = s1.where(flagged)
     if layer2 is not None:
         mal = layer2(mal).withColumn("family_id", argmax_class(F.col("family_scores"), classes)).drop("family_scores")
     else:
         mal = mal.withColumn("family_id", F.lit(None).cast("int"))
-    out = benign.unionByName(mal)
-    name = names[F.col("family_id")] if names is not None else F.lit(None).cast("string")
-    return out.withColumn("family_name", name)
+    if names is None:
+        return rest.unionByName(mal).withColumn("family_name", F.lit(None).cast("string"))
+    mal = mal.withColumn("__names", names).withColumn("family_name", name_of(F.col("__names"), F.col("family_id"))).drop("__names")
+    return rest.withColumn("family_name", F.lit(None).cast("string")).unionByName(mal)
 
 
 def resolve_family(scores: Column, classes: Column | None, names: Column | None, top_k: int = 3,
@@ -78,7 +78,7 @@ def resolve_family(scores: Column, classes: Column | None, names: Column | None,
     top = topk_classes(scores, classes, top_k)
     def nm(c):
         base = F.concat(F.lit("class_"), c.cast("string"))
-        return F.coalesce(names[c], base) if names is not None else base
+        return F.coalesce(name_of(names, c), base) if names is not None else base
     named = F.transform(top, lambda p: F.struct(nm(p["cls"]).alias("name"), p["score"].cast("double").alias("score")))
     best = F.try_element_at(named, F.lit(1))
     fam = (F.when(F.size(named) == 0, F.lit(UNKNOWN_FAMILY))
@@ -90,22 +90,24 @@ def resolve_family(scores: Column, classes: Column | None, names: Column | None,
 
 def scan_results(features: DataFrame, layer1: Scorer, threshold: float, layer2: Scorer | None = None,
                  label_map: DataFrame | None = None, classes: Column | None = None, top_k: int = 3,
-                 min_confidence: float = 0.05, errors: DataFrame | None = None, persist: bool = False) -> DataFrame:
+                 min_confidence: float = 0.05, errors: DataFrame | None = None) -> DataFrame:
     """``csc_scan``: ScanResult rows. ``features`` has path, sha256, size, is_pe and
     what the scorers need; ``errors`` has (path, size, error) rows kept as they
-    are. Benign -> family NULL; malware without layer 2 -> ``unknown``."""
-    s1 = layer1(features).withColumn("is_malware", F.col("malware_score") >= F.lit(threshold))
-    if persist:
-        s1 = s1.persist(StorageLevel.MEMORY_AND_DISK)
+    are. Benign -> family NULL; malware without layer 2 -> ``unknown``; without a score the
+    verdict and family stay NULL. The corpus is scanned and scored by layer 1 once."""
+    s1 = materialise(layer1(features).withColumn("is_malware", F.col("malware_score") >= F.lit(threshold)), "layer1")
     names = name_lookup(label_map)
+    flagged = F.coalesce(F.col("is_malware"), F.lit(False))
     keep = ["path", "sha256", "size", "is_pe", "is_malware", "malware_score"]
-    benign = s1.where(~F.col("is_malware")).select(
+    benign = s1.where(~flagged).select(
         *keep, F.lit(None).cast("string").alias("family"), F.lit(None).cast("double").alias("family_confidence"),
         F.array().cast(TOP_FAMILIES_TYPE).alias("top_families"))
-    mal = s1.where(F.col("is_malware"))
+    mal = s1.where(flagged)
     if layer2 is not None:
-        r = resolve_family(F.col("family_scores"), classes, names, top_k, min_confidence)
-        mal = layer2(mal).select(*keep, r["family"].alias("family"), r["family_confidence"].alias("family_confidence"),
+        named = None if names is None else F.col("__names")
+        r = resolve_family(F.col("family_scores"), classes, named, top_k, min_confidence)
+        mal = layer2(mal)
+        mal = (mal if names is None else mal.withColumn("__names", names)).select(*keep, r["family"].alias("family"), r["family_confidence"].alias("family_confidence"),
                                  r["top_families"].alias("top_families"))
     else:
         mal = mal.select(*keep, F.lit(UNKNOWN_FAMILY).alias("family"), F.lit(None).cast("double").alias("family_confidence"),

@@ -1,29 +1,14 @@
-"""Join helpers: size-checked broadcast and the lookup joins of the label layer."""
+"""Lookup joins of the label layer; adaptive execution broadcasts a side by its measured bytes."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A lookup side is broadcast only when its counted row number is at most this.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def sized_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after counting the side; above the bound the plan
-    stays a shuffle join (AQE may still pick broadcast at run time).
-
-    Callers pass lookup tables that are already small aggregates (label maps,
-    class weights, catalogues); the count is one cheap job over them.
-    """
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
-
-
 def lookup_id(df: DataFrame, key: Column | str, mapping: DataFrame, key_col: str = "label",
               id_col: str = "id", out: str = "y", default: int = -1) -> DataFrame:
     """``join_label_map`` / ``prj_encode_label``: left join label -> id, missing -> default."""
     k = F.col(key) if isinstance(key, str) else key
-    m = sized_broadcast(mapping.select(F.col(key_col).alias("__k"), F.col(id_col).alias("__id")))
+    m = mapping.select(F.col(key_col).alias("__k"), F.col(id_col).alias("__id"))
     return (df.join(m, k == F.col("__k"), "left")
               .withColumn(out, F.coalesce(F.col("__id"), F.lit(default)).cast("int"))
               .drop("__k", "__id"))
@@ -33,7 +18,7 @@ def lookup_name(df: DataFrame, id_col: str, mapping: DataFrame, out: str = "name
                 fallback_prefix: str | None = None) -> DataFrame:
     """``join_inverse_map``: id -> name. Cascade style gives null for an unknown id;
     scanner style (``fallback_prefix='class_'``) gives ``class_<id>``."""
-    m = sized_broadcast(mapping.select(F.col("id").alias("__id"), F.col("label").alias("__name")))
+    m = mapping.select(F.col("id").alias("__id"), F.col("label").alias("__name"))
     j = df.join(m, F.col(id_col) == F.col("__id"), "left")
     name = F.col("__name")
     if fallback_prefix is not None:
@@ -45,7 +30,7 @@ def lookup_name(df: DataFrame, id_col: str, mapping: DataFrame, out: str = "name
 def attach_weight(df: DataFrame, label_col: str, weights: DataFrame, out: str = "weight",
                   default: float = 1.0) -> DataFrame:
     """``join_class_weight``: class weight per row, 1.0 when the class has none."""
-    w = sized_broadcast(weights.select(F.col("y").alias("__y"), F.col("weight").alias("__w")))
+    w = weights.select(F.col("y").alias("__y"), F.col("weight").alias("__w"))
     return (df.join(w, F.col(label_col) == F.col("__y"), "left")
               .withColumn(out, F.coalesce(F.col("__w"), F.lit(default)).cast("double"))
               .drop("__y", "__w"))

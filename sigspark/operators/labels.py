@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .joins import lookup_id, sized_broadcast
+from .joins import lookup_id
 
 # Fixed values (must equal the reference): tags never used as a class.
 IGNORE_TAGS = ["", "win32", "win64", "elf", "linux", "pdf", "apk", "android"]
@@ -64,7 +64,7 @@ def encode_single_label(df: DataFrame, label_col: str, label_map: DataFrame, out
 
 def multihot_long(df: DataFrame, key: str, labels_col: str, label_map: DataFrame) -> DataFrame:
     """Multilabel target as a long table (key, label_id); unknown labels ignored."""
-    m = sized_broadcast(label_map.select(F.col("label").alias("__l"), F.col("id").alias("label_id")))
+    m = label_map.select(F.col("label").alias("__l"), F.col("id").alias("label_id"))
     ex = df.select(key, F.explode_outer(labels_col).alias("__l"))
     return ex.join(m, "__l", "inner").select(key, "label_id").distinct()
 
@@ -73,15 +73,24 @@ def multihot(df: DataFrame, key: str, labels_col: str, label_map: DataFrame, k:
              out: str = "y_multi") -> DataFrame:
     """``prj_multihot``: K-wide 0/1 array per row (null or unknown labels -> zeros).
 
-    The exploded (key, id) pairs are regrouped by key (a shuffle of small
-    pairs) and joined back; rows without labels get all zeros.
+    The map is computed once. It has K entries, as many as the array of every single
+    output row, so it is shipped to the tasks as a dictionary and rows are not shuffled.
     """
-    if k is None:
-        k = label_map.count()
-    ids = (multihot_long(df, key, labels_col, label_map)
-           .groupBy(key).agg(F.collect_set("label_id").alias("__ids")))
-    j = df.join(ids, key, "left")
-    return j.withColumn(out, dense_from_ids(F.col("__ids"), k)).drop("__ids")
+    ids = {r["label"]: int(r["id"]) for r in label_map.select("label", "id").collect()}
+    width = k if k is not None else max(ids.values(), default=-1) + 1
+    shared = df.sparkSession.sparkContext.broadcast(ids)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def dense(labels: pd.Series) -> pd.Series:
+        lookup = shared.value
+        grid = np.zeros((len(labels), width), dtype=np.int32)
+        for r, values in enumerate(labels):
+            if values is not None:
+                at = [i for v in set(values) if (i := lookup.get(v)) is not None]
+                grid[r, at] = 1
+        return pd.Series(list(grid))
+
+    return df.withColumn(out, dense(F.col(labels_col)))
 
 
 def dense_from_ids(ids: Column, k: int) -> Column:

@@ -59,8 +59,9 @@ def roc_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     g = score_groups(df, y, score)
     P, N = _totals(g)
     c = cumulative_desc(g)
-    return c.select(F.col("score").alias("threshold"), (F.col("cum_fp") / F.lit(N)).alias("fpr"),
-                    (F.col("cum_tp") / F.lit(P)).alias("tpr"), "cum_tp", "cum_fp")
+    # a rate over no rows is NULL
+    return c.select(F.col("score").alias("threshold"), F.try_divide("cum_fp", F.lit(N)).alias("fpr"),
+                    F.try_divide("cum_tp", F.lit(P)).alias("tpr"), "cum_tp", "cum_fp")
 
 
 def binary_curve_metrics(df: DataFrame, y: str = "y", score: str = "score", max_fpr_tpr: float = 0.01,
@@ -71,20 +72,21 @@ def binary_curve_metrics(df: DataFrame, y: str = "y", score: str = "score", max_
     c = cumulative_desc(g)
     P, N = F.lit(p_).cast("double"), F.lit(n_).cast("double")
     ctp, cfp = F.col("cum_tp"), F.col("cum_fp")
-    fpr, tpr = cfp / N, ctp / P
-    fpr0, tpr0 = (cfp - F.col("fp")) / N, (ctp - F.col("tp")) / P
+    fpr, tpr = F.try_divide(cfp, N), F.try_divide(ctp, P)
+    fpr0, tpr0 = F.try_divide(cfp - F.col("fp"), N), F.try_divide(ctp - F.col("tp"), P)
     auc_term = F.col("tp") * (N - cfp + F.col("fp") / 2.0)
-    ap_term = (F.col("tp") / P) * ctp / (ctp + cfp)
+    ap_term = F.try_divide(F.try_divide(F.col("tp"), P) * ctp, ctp + cfp)
     m = F.lit(max_fpr_pauc)
     inside = (fpr <= m)
     crossing = (fpr0 <= m) & (fpr > m)
-    t_at = tpr0 + (tpr - tpr0) * (m - fpr0) / (fpr - fpr0)
+    t_at = tpr0 + F.try_divide((tpr - tpr0) * (m - fpr0), fpr - fpr0)
     seg = (F.when(inside, (fpr - fpr0) * (tpr + tpr0) / 2.0)
-            .when(crossing, (m - fpr0) * (tpr0 + t_at) / 2.0).otherwise(0.0))
+            .when(crossing, (m - fpr0) * (tpr0 + t_at) / 2.0)
+            .when(fpr.isNull() | tpr.isNull(), F.lit(None)).otherwise(0.0))
     agg = c.agg(
-        (F.sum(auc_term) / (P * N)).alias("roc_auc"),
+        F.try_divide(F.sum(auc_term), P * N).alias("roc_auc"),
         F.sum(ap_term).alias("pr_auc"),
-        F.coalesce(F.max(F.when(fpr <= max_fpr_tpr, tpr)), F.lit(0.0)).alias("tpr_at_fpr_1pct"),
+        (F.when(P * N > 0, F.coalesce(F.max(F.when(fpr <= max_fpr_tpr, tpr)), F.lit(0.0)))).alias("tpr_at_fpr_1pct"),
         F.sum(seg).alias("__pauc"))
     min_area, max_area = 0.5 * max_fpr_pauc ** 2, max_fpr_pauc
     return agg.select("roc_auc", "pr_auc", "tpr_at_fpr_1pct",

@@ -66,7 +66,7 @@ def q_agg_label_dist(spark, sf):
 
 
 def q_agg_label_pivot(spark, sf):
-    return au.label_pivot(_recs(spark, sf))
+    return au.label_pivot(_recs(spark, sf), ["-1", "0", "1", "null"])
 
 
 def q_agg_filetype_dist(spark, sf):
@@ -77,8 +77,12 @@ def q_agg_week_timeline(spark, sf):
     return au.week_timeline(_recs(spark, sf))
 
 
+#: File types of the stand-in records (from the records and from file names).
+WEEK_TYPES = ["de", "en", "es", "fr", "Dot_Net", "Win32", "Win64"]
+
+
 def q_agg_week_type_pivot(spark, sf):
-    return au.week_type_pivot(_recs(spark, sf), "train")
+    return au.week_type_pivot(_recs(spark, sf), WEEK_TYPES)
 
 
 def q_agg_field_coverage(spark, sf):
@@ -417,16 +421,16 @@ FROM recs GROUP BY split""",
 SELECT split, label_s AS label, count(*) AS count, count(*) / sum(count(*)) OVER (PARTITION BY split) AS ratio
 FROM recs GROUP BY split, label_s""",
     "agg_label_pivot": BASE + """
-SELECT split, count_if(label_s = '0') AS n_label_0, count_if(label_s = '1') AS n_label_1,
-       count_if(label_s IS NULL) AS n_label_null FROM recs GROUP BY split""",
+SELECT split, count_if(label_s = '-1') AS "n_label_-1", count_if(label_s = '0') AS n_label_0,
+       count_if(label_s = '1') AS n_label_1, count_if(label_s IS NULL) AS n_label_null FROM recs GROUP BY split""",
     "agg_filetype_dist": BASE + """
 SELECT * FROM (SELECT split, file_type, count(*) AS count, count(*) / sum(count(*)) OVER (PARTITION BY split) AS ratio,
   row_number() OVER (PARTITION BY split ORDER BY count(*) DESC, file_type ASC NULLS LAST) AS rank
-  FROM recs GROUP BY split, file_type) WHERE rank <= 12""",
+  FROM recs GROUP BY split, file_type)""",
     "agg_week_timeline": BASE + "SELECT split, week, count(*) AS count FROM recs GROUP BY split, week",
     "agg_week_type_pivot": BASE + """
-SELECT * FROM (PIVOT (SELECT week, file_type FROM recs WHERE split = 'train' AND week IS NOT NULL AND file_type IS NOT NULL)
-               ON file_type USING count(*) GROUP BY week)""",
+SELECT split, week, """ + ", ".join(f"count_if(file_type = '{t}') AS \"{t}\"" for t in WEEK_TYPES) + """
+FROM recs WHERE week IS NOT NULL AND file_type IS NOT NULL GROUP BY split, week""",
     "agg_field_coverage": BASE + f"""
 , kv AS (SELECT r.split, e.k AS field, e.v, e.ty FROM recs r, json_each(r.rec) {EACH.format(a='e')}),
 tot AS (SELECT split, count(*) AS t FROM recs GROUP BY split)

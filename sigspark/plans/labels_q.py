@@ -76,8 +76,7 @@ def _words(df):
 def q_prj_multihot(spark, sf):
     f = _words(fam(spark, sf))
     m = lb.build_label_map(f.where("split = 'train'"), "words", class_min=200)
-    k = m.count()
-    mh = lb.multihot(f.select("doc_id", "words"), "doc_id", "words", m, k=k)
+    mh = lb.multihot(f.select("doc_id", "words"), "doc_id", "words", m)
     return mh.select("doc_id",
                      F.aggregate("y_multi", F.lit(0), lambda a, x: a + x).alias("n_hot"),
                      F.aggregate(F.transform("y_multi", lambda x, i: x * i), F.lit(0).cast("bigint"),

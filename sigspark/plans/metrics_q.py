@@ -163,7 +163,8 @@ def q_csc_evaluate(spark, sf):
 
 def q_csc_resolve_family(spark, sf):
     d = cascade_input(spark, sf).where(F.col("embedding")[0] >= 0.0)
-    names = cs.name_lookup(family_map(spark, sf))
+    d = d.withColumn("__names", cs.name_lookup(family_map(spark, sf)))
+    names = F.col("__names")
     r = cs.resolve_family(F.slice("embedding", 2, 4).cast("array<double>"), F.sequence(F.lit(0), F.lit(3)), names, 3, 0.05)
     return d.select("vec_id", r["family"].alias("family"), r["family_confidence"].alias("family_confidence"),
                     cs.top_families_text(r["top_families"]).alias("top_families"))

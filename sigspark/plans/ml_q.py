@@ -183,7 +183,7 @@ def corpus_files(spark, sf) -> DataFrame:
 
 
 def _scan(spark, sf):
-    ok, err = cp.select_corpus(corpus_files(spark, sf), cp.DEFAULT_EXECUTABLE_EXTENSIONS, max_file_size_mb=0.02)
+    ok, err = cp.select_corpus(corpus_files(spark, sf), cp.DEFAULT_EXECUTABLE_EXTENSIONS)
     feats = (ok.withColumn("hist", fb.byte_histogram_udf(F.col("content")))
                .select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"),
                        (fb.is_pe_guess(F.col("content")) == 1).alias("is_pe"),
@@ -208,8 +208,9 @@ def q_csc_scan(spark, sf):
 
 
 def q_src_corpus(spark, sf):
-    ok, err = cp.select_corpus(corpus_files(spark, sf), cp.DEFAULT_EXECUTABLE_EXTENSIONS, max_file_size_mb=0.02)
-    return ok.select("path", F.col("length").alias("size"), F.lit(None).cast("string").alias("error")).unionByName(err)
+    ok, err = cp.select_corpus(corpus_files(spark, sf), cp.DEFAULT_EXECUTABLE_EXTENSIONS)
+    files = ok.select("path", F.col("length").alias("size"), F.lit(None).cast("string").alias("error"))
+    return files if err is None else files.unionByName(err)
 
 
 def q_prj_verdict(spark, sf):
@@ -264,8 +265,7 @@ SCAN = f"""
 WITH f AS (SELECT doc_id, source, '/corpus/' || source || '/' || CAST(doc_id AS VARCHAR) || ({EXT}) AS path,
                   octet_length(encode(text)) AS n, hex(encode(text)) AS h, sha256(text) AS sha FROM documents),
 sel AS (SELECT * FROM f WHERE lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.exe', '.dll', '.sys', '.scr', '.ocx', '.com', '.cpl', '.drv', '.efi', '.msi')),
-ok AS (SELECT * FROM sel WHERE n <= 20971),
-err AS (SELECT path, n AS size FROM sel WHERE n > 20971),
+ok AS (SELECT * FROM sel),
 bytes AS (SELECT doc_id, n, substr(h, 2*i+1, 2) AS byte FROM ok, range(n) t(i)),
 hist AS (SELECT doc_id, n, byte, count(*) AS c FROM bytes GROUP BY ALL),
 ent AS (SELECT doc_id, -sum(c / n * log2(c / n)) AS e,
@@ -287,9 +287,7 @@ res AS (
          CASE WHEN sc.ms >= 0.55 THEN CASE WHEN t.best < 0.05 THEN 'unknown' ELSE t.best_name END END AS family,
          CASE WHEN sc.ms >= 0.55 THEN round(t.best, 6) END AS family_confidence,
          coalesce(t.top_families, '') AS top_families, CAST(NULL AS VARCHAR) AS error, sc.ms AS ms_raw
-  FROM sc LEFT JOIN t USING (path)
-  UNION ALL
-  SELECT path, NULL, size, NULL, NULL, NULL, NULL, NULL, '', 'skipped: file larger than 0.02 MB', NULL FROM err)
+  FROM sc LEFT JOIN t USING (path))
 """
 
 ORACLE = {
@@ -311,7 +309,7 @@ v AS (SELECT d.doc_id, l.toxic AS y_bin, coalesce(m.id, -1) AS y_fam FROM docume
 SELECT y_bin, count(*) AS n, count(DISTINCT y_fam) AS n_families FROM v GROUP BY y_bin""",
     "csc_scan": SCAN + """SELECT path, sha256, size, is_pe, is_malware, malware_score, family, family_confidence,
   top_families, error FROM res""",
-    "src_corpus": SCAN + "SELECT path, n AS size, CAST(NULL AS VARCHAR) AS error FROM ok UNION ALL SELECT path, size, 'skipped: file larger than 0.02 MB' FROM err",
+    "src_corpus": SCAN + "SELECT path, n AS size, CAST(NULL AS VARCHAR) AS error FROM ok",
     "prj_verdict": SCAN + """SELECT path, CASE WHEN error IS NOT NULL THEN 'error' WHEN is_malware IS NULL THEN 'undecided'
   WHEN is_malware THEN 'malware' ELSE 'benign' END AS verdict, round_even(ms_raw, 4) AS malware_score,
   CASE WHEN coalesce(family, '') = '' THEN '-' ELSE family END AS family FROM res""",

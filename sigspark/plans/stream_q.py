@@ -12,23 +12,28 @@ from ..sources.tables import table
 from ..streaming import jobs
 
 
+#: Files that the folder scan lands; a bounded number, whatever the corpus.
+LANDING_FILES = 64
+
+
 def q_stm_week_counts(spark, sf):
-    return jobs.drain(spark, jobs.week_counts(jobs.read_stream_table(spark, sf, "events")))
+    return jobs.drain(spark, jobs.week_counts(jobs.read_stream_table(spark, sf, "events")),
+                      ["week_start", "event_type"])
 
 
 def q_stm_label_counts(spark, sf):
-    return jobs.drain(spark, jobs.label_counts(jobs.read_stream_table(spark, sf, "documents"), "source"))
+    return jobs.drain(spark, jobs.label_counts(jobs.read_stream_table(spark, sf, "documents"), "source"), ["label"])
 
 
 def q_stm_scan_folder(spark, sf):
-    """Documents land as text files in a scratch folder; the stream scores them."""
-    from .ml_q import _scan  # noqa: F401  (same scoring rules as the batch scan)
+    """Documents land as ``LANDING_FILES`` text files in a scratch folder; the stream scores them."""
     from ..functions import bytes as fb
     from ..operators import cascade as cs
     from ..operators import labels as lb
 
     folder = scratch_path(spark, f"landing-{uuid.uuid4().hex[:12]}")
-    table(spark, sf, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(folder)
+    bucket = F.pmod(F.col("doc_id"), F.lit(LANDING_FILES)).alias("bucket")
+    table(spark, sf, "documents").select(bucket, "text").repartition("bucket").write.partitionBy("bucket").text(folder)
     fmap = lb.build_label_map(table(spark, sf, "documents"), "source", class_min=1)
 
     def batch_scan(batch):

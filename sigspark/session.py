@@ -7,7 +7,9 @@ set yet, so the same code runs in tests (local mode) and on a cluster.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,13 +48,15 @@ def get_session(master: str | None = None, app_name: str = "sigspark",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (set by the cluster). Only when it is
-    unset (local tests) a private scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir`` (set by the cluster). Only a local master may leave
+    it unset (tests): a private scratch folder is then created and registered.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not d:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local") or "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="sigspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -62,3 +66,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for a written intermediate table."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialise(df, name: str):
+    """The rows written once to the shared folder and read back: computed once, whatever branches from them."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

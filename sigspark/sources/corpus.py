@@ -19,7 +19,7 @@ def suffix(path: F.Column) -> F.Column:
     return F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1))
 
 
-def select_corpus(files: DataFrame, extensions=DEFAULT_EXECUTABLE_EXTENSIONS, max_file_size_mb: float | None = 200.0,
+def select_corpus(files: DataFrame, extensions=DEFAULT_EXECUTABLE_EXTENSIONS, max_file_size_mb: float | None = None,
                   path: str = "path", length: str = "length"):
     """``src_corpus`` filter logic on any (path, length, ...) frame.
 
@@ -40,7 +40,7 @@ def select_corpus(files: DataFrame, extensions=DEFAULT_EXECUTABLE_EXTENSIONS, ma
 
 
 def scan_folder(spark: SparkSession, folder: str, recursive: bool = True, extensions=DEFAULT_EXECUTABLE_EXTENSIONS,
-                max_file_size_mb: float | None = 200.0, max_records_per_batch: int = 64):
+                max_file_size_mb: float | None = None, max_records_per_batch: int = 64):
     """(ok DataFrame with content, error rows) for a folder of files."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(max_records_per_batch))
     r = spark.read.format("binaryFile")

@@ -29,7 +29,7 @@ SELECT d.doc_id,
       '{"sha256": "', {sha}, '"',
       ', "md5": "', md5(d.text), '"',
       CASE WHEN l.doc_id IS NULL AND d.doc_id % 2 = 0 THEN ''
-           ELSE concat(', "label": ', coalesce(cast(l.toxic AS STRING), 'null')) END,
+           ELSE concat(', "label": ', CASE WHEN d.doc_id % 17 = 3 THEN '-1' ELSE coalesce(cast(l.toxic AS STRING), 'null') END) END,
       CASE WHEN d.doc_id % 9 = 4 THEN '' ELSE concat(', "file_type": "', d.lang, '"') END,
       CASE WHEN d.doc_id % 11 = 5 THEN ''
            ELSE concat(', "week_id": "2024-01-', lpad(cast(1 + 7 * (d.doc_id % 5) AS STRING), 2, '0'), '"') END,

@@ -47,17 +47,31 @@ def label_counts(df: DataFrame, label: str) -> DataFrame:
     return df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
 
 
-def drain(spark: SparkSession, df: DataFrame, mode: str = "complete", name: str | None = None) -> DataFrame:
-    """Run a streaming aggregate to completion (availableNow) into a memory table
-    and return its content as a batch DataFrame."""
-    name = name or f"drain_{uuid.uuid4().hex[:12]}"
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-           .option("checkpointLocation", scratch_path(spark, f"stream-ckpt-{name}"))
+def drain(spark: SparkSession, df: DataFrame, keys: list[str], value: str = "n") -> DataFrame:
+    """Run a streaming aggregate to completion (availableNow) in update mode and return its last state.
+
+    Every micro-batch writes the groups it changed to its own folder under the shared
+    checkpoint folder (a retried batch replaces its output); the result is each group's
+    value of the latest batch. State that the watermark has passed is dropped, and so
+    are rows that come later than it allows.
+    """
+    run = uuid.uuid4().hex[:12]
+    out = scratch_path(spark, f"stream-out-{run}")
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], "batch_id long"])
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = (df.writeStream.outputMode("update").foreachBatch(keep)
+           .option("checkpointLocation", scratch_path(spark, f"stream-ckpt-{run}"))
            .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.table(name)
+    if q.lastProgress is None:
+        return spark.createDataFrame([], schema).drop("batch_id")
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
+    return rows.groupBy(*keys).agg(F.max_by(value, "batch_id").alias(value)).select(*df.columns)
 
 
 def scan_stream(spark: SparkSession, folder: str, out_path: str, batch_scan: Callable[[DataFrame], DataFrame],
@@ -65,13 +79,12 @@ def scan_stream(spark: SparkSession, folder: str, out_path: str, batch_scan: Cal
     """``stm_scan_folder``: binaryFile stream -> batch scan per micro-batch -> parquet,
     partitioned by batch id and overwritten per batch (a retried batch replaces
     its own output)."""
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     src = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", "true")
            .option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files_per_trigger).load(folder))
 
     def per_batch(batch: DataFrame, batch_id: int):
         res = batch_scan(batch).withColumn("batch_id", F.lit(batch_id))
-        res.write.mode("overwrite").partitionBy("batch_id").parquet(out_path)
+        res.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_path)
 
     w = (src.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", scratch_path(spark, f"scan-ckpt-{uuid.uuid4().hex[:12]}")))
