@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonval as jv
 from ..operators import audit as au
-from ..sources.standins import raw_record_lines, record_sql
+from ..sources import jsonl as sj
+from ..sources.standins import landed_lines, raw_record_lines, record_sql
 
 # ---------------------------------------------------------------------------------------------
 # Spark side
@@ -22,13 +23,12 @@ def _recs(spark, sf):
 
 
 def q_src_jsonl(spark, sf):
-    p = _parsed(spark, sf)
+    p = au.parse_records(sj.read_lines(spark, landed_lines(spark, sf)))
     return p.groupBy("split").agg(F.count("*").alias("n_lines"), F.count_if(F.col("rec").isNotNull()).alias("n_records"))
 
 
 def q_src_rowcount(spark, sf):
-    lines = raw_record_lines(spark, sf)
-    return lines.where(F.trim("value") != "").groupBy("file_name").agg(F.count("*").alias("n_rows"))
+    return sj.row_counts(sj.read_lines(spark, landed_lines(spark, sf)))
 
 
 def q_src_parse_filename(spark, sf):

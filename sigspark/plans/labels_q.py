@@ -14,7 +14,7 @@ from ..operators import joins as jn
 from ..operators import labels as lb
 from ..operators import splits as sp
 from ..sources import jsonl as sj
-from ..sources.standins import raw_record_lines, record_sql, register_tables
+from ..sources.standins import landed_lines, raw_record_lines, record_sql, register_tables
 from ..sources.tables import table
 
 FAMILY_SQL = """
@@ -174,8 +174,7 @@ def q_set_distinct_libs(spark, sf):
 
 
 def q_src_select_files(spark, sf):
-    lines = raw_record_lines(spark, sf)
-    files = lines.select("file_name").distinct()
+    files = sj.list_files(spark, landed_lines(spark, sf), "*", recursive=True).select("file_name").distinct()
     return sj.select_files(files, "train", "Win32").union(sj.select_files(files, "test", None, "2024-01-15"))
 
 
@@ -185,15 +184,15 @@ def q_src_capped_scan(spark, sf):
 
 
 def q_src_file_index(spark, sf):
-    lines = raw_record_lines(spark, sf)
-    files = (lines.groupBy("split", "file_name").agg(F.sum(F.octet_length("value") + 1).alias("length"))
+    listed = sj.list_files(spark, landed_lines(spark, sf), "*", recursive=True)
+    files = (listed.groupBy(sj.split_from_path(F.col("path")).alias("split"), "file_name").agg(F.sum("length").alias("length"))
              .select(F.concat(F.lit("/data/"), F.col("split"), F.lit("/"), F.col("file_name")).alias("path"),
                      "file_name", "length"))
     return sj.file_index(files)
 
 
 def q_src_metadata(spark, sf):
-    lines = raw_record_lines(spark, sf).where(F.trim("value") != "")
+    lines = sj.read_lines(spark, landed_lines(spark, sf))
     return sj.metadata(lines).select("sha256", "label", "file_type", "family", "detection_ratio", "behavior",
                                      "family_confidence", "subset")
 
@@ -409,7 +408,7 @@ MD = LINES + """
     CASE WHEN json_valid(value) THEN CASE WHEN json_type(value, '$.family_confidence') = 'NULL' THEN NULL WHEN json_type(value, '$.family_confidence') = 'VARCHAR'
          THEN json_extract_string(value, '$.family_confidence') ELSE json_extract(value, '$.family_confidence')::VARCHAR END END AS family_confidence,
     split AS subset
-  FROM lines WHERE trim(value) <> '')
+  FROM lines WHERE trim(value) <> '' AND json_valid(value))
 """
 ORACLE.update({
     "flt_file_type_group": LINES + f"""

@@ -25,7 +25,7 @@ VALID_FILES = ["all", "PE", "Win32", "Win64", "Dot_Net", "APK", "ELF", "PDF"]
 def file_type_group(file_type: str) -> list[str]:
     """``flt_file_type_group``: PE -> Win32/Win64/Dot_Net, all -> the six types."""
     if file_type not in VALID_FILES:
-        raise ValueError(f"file_type must be in {', '.join(VALID_FILES)}")
+        raise ValueError(f"unknown file type {file_type!r}; known: {VALID_FILES}")
     if file_type == "PE":
         return ["Win32", "Win64", "Dot_Net"]
     if file_type == "all":
@@ -35,7 +35,7 @@ def file_type_group(file_type: str) -> list[str]:
 
 def split_group(split: str) -> list[str]:
     if split not in VALID_SPLITS:
-        raise ValueError(f"split must be in {', '.join(VALID_SPLITS)}")
+        raise ValueError(f"unknown split {split!r}; known: {VALID_SPLITS}")
     return VALID_SPLITS[1:] if split == "all" else [split]
 
 
@@ -45,7 +45,21 @@ def list_files(spark: SparkSession, data_dir: str, pattern: str = "*.jsonl", rec
     if recursive:
         r = r.option("recursiveFileLookup", "true")
     df = r.load(data_dir).select("path", "length", "modificationTime")
-    return df.withColumn("file_name", F.element_at(F.split("path", "/"), -1))
+    return df.withColumn("file_name", file_name_of(F.col("path")))
+
+
+def file_name_of(path: F.Column) -> F.Column:
+    """Name of the ``.jsonl`` file in a path: the file itself, or the folder that Spark wrote its parts to."""
+    name = F.regexp_extract(path, r"([^/=]+\.jsonl)(/|$)", 1)
+    return F.when(name != "", name).otherwise(F.element_at(F.split(path, "/"), -1))
+
+
+def write_lines(lines: DataFrame, folder: str, order_by: str | None = None) -> None:
+    """Raw lines (split, file_name, value) as JSONL under ``folder/<split>/``, one part for each file."""
+    for split in EXPECTED_SPLITS:
+        part = lines.where(F.col("split") == split).repartition("file_name")
+        part = part.sortWithinPartitions("file_name", order_by) if order_by else part
+        part.select(F.col("file_name").alias("file"), "value").write.partitionBy("file").text(f"{folder}/{split}")
 
 
 def select_files(files: DataFrame, subset: str, filetype: str | None = None, week: str | None = None) -> DataFrame:
@@ -65,17 +79,18 @@ def gather_feature_paths(spark: SparkSession, data_dir: str, subset: str, filety
     sel = select_files(list_files(spark, data_dir), subset, filetype, week).orderBy("path")
     paths = [r.path for r in sel.select("path").collect()]
     if not paths:
-        raise ValueError("Did not find any .jsonl files matching criteria")
+        raise ValueError(f"no file under {data_dir} has subset {subset!r}, type {filetype!r} and week {week!r} in its name")
     return paths
 
 
 def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """``src_jsonl``: non-blank lines with their file path / name and split."""
-    df = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_name").alias("file_name"),
-        "value")
-    return (df.where(F.trim("value") != "")
+    """``src_jsonl``: non-blank lines with their file path / name, split and ``line_id``.
+
+    ``line_id`` rises with the place in the file and is stable as long as the files are."""
+    df = spark.read.option("recursiveFileLookup", "true").text(paths).select(
+        F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("line_id"), "value")
+    return (df.where(F.col("value").rlike(r"\S"))
+              .withColumn("file_name", file_name_of(F.col("file_path")))
               .withColumn("split", split_from_path(F.col("file_path"))))
 
 
@@ -116,9 +131,11 @@ def metadata(lines: DataFrame, subset_col: str = "split") -> DataFrame:
 
     Scalars come out typed (label as INT, text fields as STRING); mixed or
     nested values (detection ratio, list labels, confidence) keep their JSON
-    text, taken from the raw line so key order is preserved.
+    text, taken from the raw line so key order is preserved. Malformed lines have no
+    metadata; ``audit.bad_rows`` counts them.
     """
     rec = F.try_parse_json("value")
+    lines = lines.where(rec.isNotNull())
     raw = F.from_json("value", "map<string,string>")
     ints = {"label"}
     texts = {"sha256", "tlsh", "first_submission_date", "last_analysis_date", "file_type", "family"}
@@ -142,5 +159,5 @@ def union_splits(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-__all__ = ["EXPECTED_SPLITS", "ORDERED_COLUMNS", "file_type_group", "split_group", "list_files", "select_files",
+__all__ = ["EXPECTED_SPLITS", "file_name_of", "write_lines", "ORDERED_COLUMNS", "file_type_group", "split_group", "list_files", "select_files",
            "gather_feature_paths", "read_lines", "row_counts", "file_index", "capped_scan", "metadata", "union_splits"]

@@ -9,8 +9,11 @@ builds the lines in the DuckDB oracle, so both sides read identical input.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch_path
 from .tables import table
 
 # {sha} is sha2(x, 256) in Spark and sha256(x) in DuckDB.
@@ -78,6 +81,14 @@ def register_tables(spark: SparkSession, sf: str, names=("documents", "labels"))
         table(spark, sf, n).createOrReplaceTempView(n)
 
 
+def landed_lines(spark: SparkSession, sf: str) -> str:
+    """Folder of JSONL files written from the stand-in lines, in the layout of the raw corpus."""
+    from .jsonl import write_lines
+    folder = scratch_path(spark, f"raw-{uuid.uuid4().hex[:12]}")
+    write_lines(raw_record_lines(spark, sf), folder, "doc_id")
+    return folder
+
+
 def raw_record_lines(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, split, file_name, value): one JSON line per document."""
     register_tables(spark, sf)
