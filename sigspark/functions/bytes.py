@@ -1,9 +1,9 @@
 """Byte-level features of file content (``BINARY`` column).
 
 The hot loops (256-bin histogram, sliding-window byte/entropy histogram,
-printable-run statistics) run as Arrow ``pandas_udf``s: every Arrow batch is
-concatenated into one numpy buffer and reduced with ``bincount`` over
-``row * bins + value`` so there is no per-byte or per-row Python loop.
+printable-run statistics) run as Arrow ``pandas_udf``s: each value is counted in
+pieces of bounded size with numpy, so there is no per-byte Python loop and memory
+does not grow with the size of a file or a batch.
 Everything derived from the counts (entropy, normalisation, start bytes)
 stays in JVM expressions.
 """
@@ -20,25 +20,26 @@ WINDOW = 2048
 STEP = 1024
 
 
-def _concat(series: pd.Series):
-    """All byte strings of a batch as one uint8 buffer plus row offsets."""
-    blobs = [b if b is not None else b"" for b in series]
-    lengths = np.fromiter((len(b) for b in blobs), dtype=np.int64, count=len(blobs))
-    buf = np.frombuffer(b"".join(blobs), dtype=np.uint8)
-    return buf, lengths
+#: Bytes of one value that are counted at once, so memory does not grow with a file.
+PIECE = 4 << 20
 
 
-def _row_ids(lengths: np.ndarray) -> np.ndarray:
-    return np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+def _pieces(blob: bytes | None):
+    """A value as uint8 arrays of bounded size (views, no copies)."""
+    a = np.frombuffer(blob if blob is not None else b"", dtype=np.uint8)
+    return [a[i:i + PIECE] for i in range(0, len(a), PIECE)]
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def byte_histogram_udf(content: pd.Series) -> pd.Series:
     """256 raw byte counts per row (``ft_byte_histogram`` raw form)."""
-    buf, lengths = _concat(content)
-    n = len(lengths)
-    counts = np.bincount(_row_ids(lengths) * 256 + buf, minlength=n * 256).reshape(n, 256)
-    return pd.Series(list(counts))
+    out = []
+    for blob in content:
+        counts = np.zeros(256, dtype=np.int64)
+        for piece in _pieces(blob):
+            counts += np.bincount(piece, minlength=256)
+        out.append(counts)
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -96,44 +97,64 @@ _PRINTABLE_SCHEMA = T.StructType([
 ])
 
 
-@F.pandas_udf(_PRINTABLE_SCHEMA)
-def printable_stats_udf(content: pd.Series) -> pd.DataFrame:
-    """Statistics of runs of >= 5 bytes in 0x20..0x7f (``ft_strings`` raw scalars).
+def printable_runs(blob: bytes | None) -> tuple[int, int, np.ndarray]:
+    """(runs, their bytes, counts of the 96 printable values) over runs of >= 5 bytes in 0x20..0x7f.
 
-    Vectorised over the whole batch: run boundaries come from a diff of the
-    printable mask, run lengths from ``bincount`` of run ids.
+    A run that is open at the end of a piece is carried on as a length and counts.
     """
-    buf, lengths = _concat(content)
-    n = len(lengths)
-    rows = _row_ids(lengths)
-    mask = (buf >= 0x20) & (buf <= 0x7F)
-    # a run breaks at non-printable bytes and at row boundaries
-    row_start = np.zeros(len(buf), dtype=bool)
-    offs = np.cumsum(lengths) - lengths
-    row_start[offs[lengths > 0]] = True
-    new_run = mask & (row_start | ~np.concatenate(([False], mask[:-1])))
-    run_id = np.cumsum(new_run) - 1
-    run_id = np.where(mask, run_id, -1)
-    nruns = int(new_run.sum())
-    run_len = np.bincount(run_id[mask], minlength=nruns)
-    run_row = rows[new_run]
-    keep_run = run_len >= 5
-    numstrings = np.bincount(run_row[keep_run], minlength=n)
-    printables = np.bincount(run_row[keep_run], weights=run_len[keep_run], minlength=n).astype(np.int64)
-    in_kept = np.zeros(len(buf), dtype=bool)
-    in_kept[mask] = keep_run[run_id[mask]]
-    dist = np.bincount(rows[in_kept] * 96 + (buf[in_kept].astype(np.int64) - 0x20),
-                       minlength=n * 96).reshape(n, 96)
+    runs, dist = 0, np.zeros(96, dtype=np.int64)
+    open_len, open_counts = 0, np.zeros(96, dtype=np.int64)
+    for piece in _pieces(blob):
+        mask = (piece >= 0x20) & (piece <= 0x7F)
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
+        starts, ends = edges[0::2], edges[1::2]
+        if open_len and (not len(starts) or starts[0] > 0):      # the open run ended with the last piece
+            if open_len >= 5:
+                runs, dist = runs + 1, dist + open_counts
+            open_len, open_counts = 0, np.zeros(96, dtype=np.int64)
+        if not len(starts):
+            continue
+        if open_len:                                             # it goes on at the start of this one
+            open_len += int(ends[0])
+            open_counts = open_counts + np.bincount(piece[:ends[0]] - 0x20, minlength=96)
+            starts, ends = starts[1:], ends[1:]
+            if open_len and len(piece) > (edges[1] if len(edges) > 1 else 0):
+                if open_len >= 5:
+                    runs, dist = runs + 1, dist + open_counts
+                open_len, open_counts = 0, np.zeros(96, dtype=np.int64)
+        if len(ends) and ends[-1] == len(piece):                 # the last run stays open
+            open_len = int(ends[-1] - starts[-1])
+            open_counts = np.bincount(piece[starts[-1]:] - 0x20, minlength=96)
+            starts, ends = starts[:-1], ends[:-1]
+        keep = ends - starts >= 5
+        runs += int(keep.sum())
+        inside = np.zeros(len(piece) + 1, dtype=np.int8)
+        inside[starts[keep]] = 1
+        inside[ends[keep]] -= 1
+        kept = piece[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+        dist = dist + np.bincount(kept - 0x20, minlength=96)
+    if open_len >= 5:
+        runs, dist = runs + 1, dist + open_counts
+    return runs, int(dist.sum()), dist
+
+
+@F.pandas_udf(_PRINTABLE_SCHEMA)
+def printable_stats_udf(content: pd.Series) -> pd.DataFrame:
+    """Statistics of runs of >= 5 bytes in 0x20..0x7f (``ft_strings`` raw scalars)."""
+    found = [printable_runs(blob) for blob in content]
+    numstrings = np.array([f[0] for f in found], dtype=np.int64)
+    printables = np.array([f[1] for f in found], dtype=np.int64)
+    dist = np.array([f[2] for f in found], dtype=np.int64).reshape(len(found), 96)
     with np.errstate(divide="ignore", invalid="ignore"):
         avlength = np.where(numstrings > 0, printables / np.maximum(numstrings, 1), 0.0)
         p = dist.astype(np.float32) / np.maximum(printables, 1)[:, None].astype(np.float32)
         terms = np.where(dist > 0, -p * np.log2(np.where(dist > 0, p, np.float32(1))), np.float32(0))
     entropy = terms.sum(axis=1, dtype=np.float32).astype(np.float64)
     return pd.DataFrame({
-        "numstrings": numstrings.astype(np.int64),
+        "numstrings": numstrings,
         "avlength": avlength.astype(np.float64),
         "printables": printables,
-        "printabledist": list(dist.astype(np.int64)),
+        "printabledist": list(dist),
         "entropy": entropy,
     })
 

@@ -29,6 +29,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import metrics as mt
 from . import splits as sp
 from .joins import attach_weight
@@ -52,13 +53,15 @@ def with_vector(df: DataFrame, features: str = "features", out: str = "fv") -> D
 
 
 def _estimator(model_type: str, problem_type: str, n_features: int, n_classes: int, params: dict,
-               weighted: bool):
+               weighted: bool, n_rows: int = 0):
     p = dict(params or {})
+    # one unit of squared weight against the summed loss, as a mean over the rows
+    l2 = p.get("regParam", 1.0 / max(1, n_rows))
     wc = {"weightCol": "weight"} if weighted else {}
     if model_type == "logreg":
         return [StandardScaler(inputCol="fv", outputCol="fs", withMean=False, withStd=True),
                 LogisticRegression(featuresCol="fs", labelCol="label", maxIter=p.get("maxIter", 100),
-                                   regParam=p.get("regParam", 0.0), **wc)]
+                                   regParam=l2, **wc)]
     if model_type == "rf":
         return [RandomForestClassifier(featuresCol="fv", labelCol="label", numTrees=p.get("numTrees", 300),
                                        maxDepth=p.get("maxDepth", 10), seed=p.get("seed", 42), **wc)]
@@ -73,7 +76,7 @@ def _estimator(model_type: str, problem_type: str, n_features: int, n_classes: i
                             **({"validationIndicatorCol": "is_val_flag"} if p.get("early_stopping") else {}), **wc)
         return [gbt] if problem_type == "binary" else [OneVsRest(classifier=gbt, featuresCol="fv", labelCol="label")]
     if model_type == "linear_svm":
-        svm = LinearSVC(featuresCol="fs", labelCol="label", maxIter=p.get("maxIter", 100), regParam=p.get("regParam", 0.0), **wc)
+        svm = LinearSVC(featuresCol="fs", labelCol="label", maxIter=p.get("maxIter", 100), regParam=l2, **wc)
         scaler = StandardScaler(inputCol="fv", outputCol="fs", withMean=False, withStd=True)
         return [scaler, svm] if problem_type == "binary" else [scaler, OneVsRest(classifier=svm, featuresCol="fs", labelCol="label")]
     if model_type == "ridge":
@@ -82,7 +85,7 @@ def _estimator(model_type: str, problem_type: str, n_features: int, n_classes: i
         return [StandardScaler(inputCol="fv", outputCol="fs", withMean=False, withStd=True),
                 LinearRegression(featuresCol="fs", labelCol="pm1", regParam=p.get("regParam", 1.0), elasticNetParam=0.0,
                                  predictionCol="decision", **wc)]
-    raise ValueError(f"Unsupported model_type: {model_type}")
+    raise ValueError(f"unknown model type {model_type!r}")
 
 
 def _fit_frame(df: DataFrame, y: str, features: str) -> DataFrame:
@@ -135,7 +138,7 @@ def train_classifier(df: DataFrame, model_type: str, params: dict | None = None,
     stats = lab.agg(F.count("*").alias("n"), F.countDistinct(y).alias("k"),
                     F.first(F.size(features)).alias("d")).first()
     if not stats["n"]:
-        raise ValueError("No labeled rows found in training data.")
+        raise ValueError("every training row is unlabelled")
     k, d = int(stats["k"]), int(stats["d"])
     problem_type = problem_type or ("binary" if k <= 2 else "multiclass")
     lab = sp.stratified_sample(lab, y, key, sample_size, seed)
@@ -146,12 +149,11 @@ def train_classifier(df: DataFrame, model_type: str, params: dict | None = None,
         if w is not None:
             split = attach_weight(split, y, w.withColumnRenamed(y, "y") if y != "y" else w)
             weighted = True
-    from pyspark import StorageLevel
-    split = split.persist(StorageLevel.MEMORY_AND_DISK)   # fit, threshold search and class list reuse it
+    split = materialise(split, "training-split")           # fit, threshold search and class list reuse it
     classes = sorted(int(r[0]) for r in split.select(y).distinct().collect())   # bounded by the class count
     frame = _fit_frame(split, y, features).withColumn("is_val_flag", F.col("is_val"))
     n_cls = max(classes) + 1 if classes else 2
-    stages = _estimator(model_type, problem_type, d, n_cls, params or {}, weighted)
+    stages = _estimator(model_type, problem_type, d, n_cls, params or {}, weighted, int(stats["n"]))
     train = frame if (params or {}).get("early_stopping") else frame.where(~F.col("is_val"))
     pm = Pipeline(stages=stages).fit(train)
     tm = TrainedModel(pm, model_type, problem_type, classes=list(range(n_cls)) if problem_type != "binary" else [0, 1],
@@ -217,9 +219,9 @@ def train_multilabel_ovr(df: DataFrame, model_type: str = "logreg", params: dict
     lab = df.where(F.aggregate(F.col(y), F.lit(0), lambda a, x: a + x) > 0).cache()
     width = lab.select(F.max(F.size(y))).first()[0] or 0
     out = []
-    nvals = lab.agg(*[F.countDistinct(F.col(y)[j]).alias(f"c{j}") for j in range(width)]).first()
+    ends = lab.agg(*[f(F.get(y, F.lit(j))).alias(f"{n}{j}") for j in range(width) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     for j in range(width):
-        if nvals[f"c{j}"] < 2:
+        if ends[f"lo{j}"] == ends[f"hi{j}"]:
             continue
         d = lab.withColumn("__yj", F.col(y)[j])
         out.append((j, train_classifier(d, model_type, params, "binary", validation_size, seed, y="__yj", key=key,

@@ -40,9 +40,8 @@ def select_corpus(files: DataFrame, extensions=DEFAULT_EXECUTABLE_EXTENSIONS, ma
 
 
 def scan_folder(spark: SparkSession, folder: str, recursive: bool = True, extensions=DEFAULT_EXECUTABLE_EXTENSIONS,
-                max_file_size_mb: float | None = None, max_records_per_batch: int = 64):
+                max_file_size_mb: float | None = None):
     """(ok DataFrame with content, error rows) for a folder of files."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(max_records_per_batch))
     r = spark.read.format("binaryFile")
     if recursive:
         r = r.option("recursiveFileLookup", "true")

@@ -12,7 +12,7 @@ from sigspark.functions import strings as fs
 
 def _buffers():
     rng = np.random.default_rng(1)
-    return [b"M", b"MZ\x00", bytes(range(256)), b"\x41" * 3000, bytes(rng.integers(0, 256, 2047, dtype=np.uint8)),
+    return [b"", b"M", b"MZ\x00", bytes(range(256)), b"\x41" * 3000, bytes(rng.integers(0, 256, 2047, dtype=np.uint8)),
             bytes(rng.integers(0, 256, 2048, dtype=np.uint8)), bytes(rng.integers(0, 256, 3072, dtype=np.uint8)),
             b"see http://example.com/a?b=1 and 10.1.2.3 then GET /index.html HTTP/1.1 " * 30]
 
@@ -49,7 +49,7 @@ def test_histogram_and_entropy(profiled):
         cnt = Counter(b)
         ref = -sum(c / len(b) * math.log2(c / len(b)) for c in cnt.values())
         assert abs(r["ent"] - ref) < 1e-9
-        assert list(r["sb"]) == [b[0], b[1] if len(b) > 1 else 0, b[2] if len(b) > 2 else 0, b[3] if len(b) > 3 else 0]
+        assert list(r["sb"]) == list((b + bytes(4))[:4])
 
 
 def test_byte_entropy_histogram(profiled):
@@ -80,3 +80,15 @@ def test_ioc_counts_match_python_regex(spark):
     for name, pat, ci in fs.IOC_PATTERNS:
         py = re.compile(pat.replace(r"\[", "["), re.IGNORECASE if ci else 0)
         assert row[name] == sum(1 for s in strings if py.search(s)), name
+
+
+@pytest.mark.parametrize("piece", [1, 3, 7, 64])
+def test_runs_across_pieces(monkeypatch, piece):
+    rng = np.random.default_rng(piece)
+    monkeypatch.setattr(fb, "PIECE", piece)
+    for _ in range(200):
+        b = bytes(rng.choice([0x1F, 0x20, 0x41, 0x7F, 0x80], rng.integers(0, 60), p=[.1, .2, .4, .2, .1]).astype(np.uint8))
+        kept = re.findall(rb"[\x20-\x7f]{5,}", b)
+        runs, n, dist = fb.printable_runs(b)
+        assert (runs, n) == (len(kept), sum(map(len, kept)))
+        assert dist.tolist() == [sum(k.count(bytes([v])) for k in kept) for v in range(0x20, 0x80)]
