@@ -106,6 +106,19 @@ def test_near_duplicate_classes(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(sizes)
 
 
+def test_near_duplicates_without_a_common_centre(spark):
+    """Many edited copies: most pairs lie below the threshold, classes hang together by links between members."""
+    rnd = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+    texts = [edited(rnd, base, 1 + i % 4) for i in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    settings = near_dedup.Settings(block=16)
+    got = {r.doc: r.class_id for r in near_dedup.classes(df.repartition(3), settings=settings).collect()}
+    expected = brute_classes(texts)
+    assert 1 < len(set(expected)) < 80
+    assert got == dict(enumerate(expected))
+
+
 def test_near_duplicates_of_odd_rows(odd_documents):
     rows = near_dedup.classes(odd_documents).collect()
     assert len(rows) == odd_documents.count()
