@@ -43,7 +43,7 @@ from sigspark.llm.frames import written
 from sigspark.llm.text import column_buffer, lower_ascii, mix64, slices, span_hashes, word_spans
 
 #: Text bytes of a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Discount of every n-gram count.
 DISCOUNT = 0.75
 #: Codes 1..254 stand for 10 ** -(code - 1) * STEP; 0 for nothing stored.
@@ -253,8 +253,9 @@ class Block:
         self.pair = np.empty(len(pair), np.int64)
         self.pair[by] = number
         at = by[head]
-        self.pair_context, self.pair_word = self.context[at], self.token[at]
-        self.pair_counts = np.bincount(self.pair, weights=weight, minlength=len(at)).astype(np.int64)
+        self.pair_context, self.pair_word = self.context[at].astype(np.int32), self.token[at].astype(np.int32)
+        self.pair_counts = np.bincount(self.pair, weights=weight, minlength=len(at)).astype(np.int32)
+        del self.context, self.token, pair, by, number, tokens, before
         shard = shard_of(self.words, shards)
         self.word_bounds = np.searchsorted(shard, np.arange(shards + 1))
         self.pair_bounds = np.searchsorted(self.pair_context, self.word_bounds)
@@ -303,7 +304,7 @@ def score(docs: DataFrame, learn: Column, carry: dict[str, Column] | None = None
     """
     spark = docs.sparkSession
     carry = carry or {}
-    shards = shards or max(12, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or max(12, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).cast("int").alias("learned"),
                        *[c.alias(name) for name, c in carry.items()])
 
