@@ -7,16 +7,15 @@ counted over every document in hashed buckets: a strong one would let the few
 edited shingles of a near copy outweigh the many shared ones of a large group.
 
 1. Texts with equal words are one node (128 hashed bits of the words).
-2. Each node gets ``bands * rows`` consistent weighted samples; nodes that share
-   a whole band meet in a bucket.
+2. Each node gets ``bands * rows`` consistent weighted samples, and as many samples of
+   its distinct shingles, each of weight 1 (repeated passages change the weights of a
+   copy but not its set); nodes that share a whole band of either kind meet in a bucket.
 3. In each bucket the most central node (the one whose buckets are fullest)
    leads; all members are compared with it by weighted Jaccard similarity. So a
    group of n copies costs about n comparisons, not n squared.
 4. Members without a link to their leader are held against the bucket's members of
-   other classes by their samples, in blocks of bounded size; only pairs whose
-   estimated similarity comes within ``margin`` of the threshold are compared exactly,
-   in place, and only links are given out.
-   (The estimate's standard error is 0.04, so 0.12 misses one pair in 700 at 0.8.)
+   other classes, in blocks of bounded size. Every such pair is compared exactly, by
+   products of shingle rows; one link joins two classes of a block and is given out.
 5. Links form classes (label propagation in the shared folder).
 
 A pair counts as near duplicates from ``threshold`` on, by weighted or by plain
@@ -54,8 +53,6 @@ class Settings:
     #: hashed document-frequency buckets, as a power of two
     df_bits: int = 20
     idf_range: float = 0.5
-    #: how far below the threshold an estimate may lie
-    margin: float = 0.12
     #: members of a bucket that are held against each other in one go
     block: int = 1024
     #: bits of the filter that spares rows without candidates a shuffle, as a power of two
@@ -197,6 +194,16 @@ class Sampler:
             out[:, i] = mix64(wide[at] + t[at].astype(np.int64).view(np.uint64) * np.uint64(0xD1B54A32D192ED03))
         return out
 
+    def plain_samples(self, found: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """(rows, samples) of the distinct shingles, all of weight 1; every row must have a shingle."""
+        out = np.empty((len(off) - 1, self.n), np.uint64)
+        wide = mix64(found.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        for i in range(self.n):
+            x = wide * self.factor[i]
+            x ^= x >> np.uint64(31)
+            out[:, i] = np.minimum.reduceat(x, off[:-1])
+        return out
+
     def bands(self, samples: np.ndarray) -> np.ndarray:
         """(rows, bands) bucket names."""
         s = self.settings
@@ -253,8 +260,8 @@ def _first_copies(batches: Iterator[pa.RecordBatch], settings: Settings, piece:
             yield [names[r] for r in keep], flat, np.concatenate([[0], np.cumsum(size)])
 
 
-def candidate_buckets(docs: DataFrame, weights: np.ndarray, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """(bucket, node and size of every bucket with two nodes or more; node and samples, one byte each)."""
+def candidate_buckets(docs: DataFrame, weights: np.ndarray, settings: Settings) -> DataFrame:
+    """bucket, node and size of every bucket with two nodes or more."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)      # 2**df_bits entries
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,20 +269,16 @@ def candidate_buckets(docs: DataFrame, weights: np.ndarray, settings: Settings)
         mask = np.uint32(len(shared.value) - 1)
         for names, flat, off in _first_copies(batches, settings):
             found, count, off = _distinct(flat, off)
-            samples = sampler.samples(found, shared.value[found & mask] * count, off)
-            buckets = sampler.bands(samples)
-            short = [row.tobytes() for row in (samples >> np.uint64(56)).astype(np.uint8)]
-            node = pa.array(np.repeat(np.arange(len(names)), settings.bands))
-            # the samples travel with a node's first bucket
-            first = [x if j == 0 else None for x in short for j in range(settings.bands)]
+            weighted = sampler.bands(sampler.samples(found, shared.value[found & mask] * count, off))
+            plain = mix64(sampler.bands(sampler.plain_samples(found, off)) + np.uint64(1))
+            buckets = np.concatenate([weighted, plain], axis=1)
+            node = pa.array(np.repeat(np.arange(len(names)), buckets.shape[1]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(buckets.ravel().view(np.int64)), pa.array(names, pa.binary()).take(node), pa.array(first, pa.binary())],
-                names=["bucket", "node", "samples"])
+                [pa.array(buckets.ravel().view(np.int64)), pa.array(names, pa.binary()).take(node)], names=["bucket", "node"])
 
-    rows = written(docs.select("text").mapInArrow(band, "bucket long, node binary, samples binary").distinct(), "bands")
-    bands = rows.select("bucket", "node")
+    bands = written(docs.select("text").mapInArrow(band, "bucket long, node binary").distinct(), "bands")
     sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return bands.join(sizes, "bucket"), rows.filter(F.col("samples").isNotNull()).select("node", "samples")
+    return bands.join(sizes, "bucket")
 
 
 def _node_filter(nodes: DataFrame, bits: int) -> np.ndarray:
@@ -352,52 +355,73 @@ def verified(pairs: DataFrame, features: DataFrame, weights: np.ndarray, setting
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary, linked boolean")
 
 
-def _alike(settings: Settings, weights):
-    """Links of open members to members of their bucket in other classes: samples first, then the shingles themselves.
+def _tokens(content: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """((shingle, number of its repeat) as one integer, row offsets) of shingle rows: common tokens of two rows are
+    common shingles with the smaller count."""
+    raw = [x.as_buffer() for x in content]
+    off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int64)
+    flat = np.frombuffer(b"".join(raw), "<u4")
+    head = np.ones(len(flat), bool)
+    head[1:] = flat[1:] != flat[:-1]
+    head[off[:-1]] = True
+    at = np.flatnonzero(head)
+    repeat = np.arange(len(flat)) - at[np.cumsum(head) - 1]
+    return (flat.astype(np.uint64) << np.uint64(32)) | repeat.astype(np.uint64), off
+
+
+def _alike(settings: Settings, weights, piece: int = 1 << 20):
+    """Links of asking members to members of their bucket in other classes, all compared exactly.
 
-    Within a group one link of a member to a class is enough; a pair is given out only if it is a link.
+    Within a group one link joins two classes; members of one class need no further comparison.
     """
-    least = (settings.threshold - settings.margin) * settings.bands * settings.rows
+    least = settings.threshold - 1e-12
+
+    def weighed(token: np.ndarray, off: np.ndarray):
+        """(weight of each token, 1 for the first of a shingle, sums of both by row)."""
+        w = weights.value[(token >> np.uint64(32)) & np.uint64(len(weights.value) - 1)].astype(np.float64)
+        one = ((token & np.uint64(0xFFFFFFFF)) == 0).astype(np.int64)
+        return w, one, np.add.reduceat(w, off[:-1]), np.add.reduceat(one, off[:-1])
 
     def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
         names = table.column("node").to_pylist()
-        samples = np.frombuffer(b"".join(table.column("samples").to_pylist()), np.uint8).reshape(len(names), -1)
-        labels = np.unique(np.array(table.column("label").to_pylist(), "S16"), return_inverse=True)[1]
+        labels = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)[1]
         asks = table.column("asks").to_numpy()
         content = table.column("shingles").combine_chunks()
-        table_of = weights.value
-        known: dict[tuple[bytes, bytes], bool] = {}
-
-        def linked(x: int, y: int) -> bool:
-            key = (names[x], names[y]) if names[x] < names[y] else (names[y], names[x])
-            if key not in known:
-                p, q = (np.frombuffer(content[i].as_buffer(), "<u4") for i in (x, y))
-                known[key] = max(similarity(p, q, table_of)) >= settings.threshold - 1e-12
-            if known[key]:
-                out.add(key)
-            return known[key]
-
+        length = np.array([len(x.as_buffer()) // 4 for x in content], np.int64)
         keys = np.stack([table.column(c).to_numpy() for c in ("bucket", "mine", "other")], axis=1)
         cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        out: set[tuple[bytes, bytes]] = set()
+        out: list[tuple[int, int]] = []
         for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(names)).tolist()):
             ask = a + np.flatnonzero(asks[a:b])
             there = a + np.flatnonzero(~asks[a:b])
-            if not len(there):
+            if not len(ask) or not len(there):
                 continue
-            for at in range(0, len(ask), 64):
-                q = ask[at: at + 64]
-                same = np.zeros((len(q), len(there)), np.int16)
-                for j in range(samples.shape[1]):
-                    same += samples[q, j][:, None] == samples[there, j][None, :]
-                i, j = np.nonzero((same >= least) & (labels[q][:, None] != labels[there][None, :]))
-                order = np.lexsort((-same[i, j], i))                 # the most alike first
-                done: set[tuple[int, int]] = set()
-                for x, y in zip(q[i[order]].tolist(), there[j[order]].tolist()):
-                    if (x, int(labels[y])) not in done and linked(x, y):
-                        done.add((x, int(labels[y])))
+            of = labels[a:b].copy()                                  # classes as the links of this group join them
+            part = (np.cumsum(length[there]) - 1) // piece           # bounded numbers of tokens
+            for rows in np.split(there, np.flatnonzero(np.diff(part)) + 1):
+                if len(np.unique(of[np.append(rows, ask) - a])) == 1:
+                    continue
+                token, off = _tokens(content.take(pa.array(rows)))
+                w, one, w_sum, one_sum = weighed(token, off)
+                known, place = np.unique(token, return_inverse=True)
+                for x in ask.tolist():
+                    other = of[rows - a] != of[x - a]
+                    if not other.any():
+                        continue
+                    mine, ends = _tokens(content.slice(x, 1))
+                    _, _, w_mine, one_mine = weighed(mine, ends)
+                    at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                    on = np.zeros(len(known), bool)
+                    on[at[known[at] == mine]] = True
+                    hit = on[place]
+                    both, common = np.add.reduceat(w * hit, off[:-1]), np.add.reduceat(one * hit, off[:-1])
+                    alike = np.maximum(both / (w_mine[0] + w_sum - both), common / (one_mine[0] + one_sum - common))
+                    for y in rows[(alike >= least) & other].tolist():
+                        if of[y - a] != of[x - a]:
+                            out.append((x, y))
+                            of[of == of[y - a]] = of[x - a]
         if out:
-            first, second = zip(*out)
+            first, second = zip(*({tuple(sorted((names[x], names[y]))) for x, y in out}))
             yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,7 +447,7 @@ def _alike(settings: Settings, weights):
 def links(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """a and b of the verified links between nodes (``docs`` has the column text)."""
     weights = inverse_frequencies(docs, settings)
-    buckets, samples = candidate_buckets(docs, weights, settings)
+    buckets = candidate_buckets(docs, weights, settings)
     central = buckets.groupBy("node").agg((-F.sum("size")).alias("order"))
     members = written(buckets.join(central, "node").select("bucket", "size", F.struct("order", "node").alias("member")), "buckets")
     features = written(_candidate_features(docs, members.select("member.node").distinct(), settings), "shingles")
@@ -449,10 +473,9 @@ def links(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     all_members = members.select("bucket", "size", F.col("member.node").alias("node")).join(
         still.select("bucket").distinct(), "bucket", "left_semi")
     dealt = placed(still, True).unionByName(placed(all_members, False))
-    known = samples.dropDuplicates(["node"]).join(features, "node").join(label, "node", "left").select(
-        "node", "samples", "shingles", F.coalesce("label", "node").alias("label"))
+    known = features.join(label, "node", "left").select("node", "shingles", F.coalesce("label", "node").alias("label"))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    more = (dealt.join(known, "node").select("bucket", "mine", "other", "node", "label", "samples", "shingles", "asks")
+    more = (dealt.join(known, "node").select("bucket", "mine", "other", "node", "label", "shingles", "asks")
             .repartition("bucket", "mine", "other").sortWithinPartitions("bucket", "mine", "other")
             .mapInArrow(_alike(settings, shared), "a binary, b binary").distinct())
     return found.unionByName(written(more, "more-links"))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,58 @@ def test_near_duplicates_without_a_common_centre(spark):
     assert got == dict(enumerate(expected))
 
 
+def test_near_duplicates_with_repeated_passages(spark):
+    """A repeated passage leaves plain similarity high and makes weighted similarity low."""
+    rnd = random.Random(11)
+    texts = []
+    for _ in range(40):
+        base = [f"p{rnd.random()}" for _ in range(300)]
+        passage = base[100:200]
+        texts += [" ".join(base), " ".join(base[:200] + passage * rnd.randint(3, 8) + base[200:])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = brute_classes(texts)
+    assert len(set(expected)) == 40
+    assert {r.doc: r.class_id for r in near_dedup.classes(df.repartition(3)).collect()} == dict(enumerate(expected))
+
+
+@pytest.mark.parametrize("block", [5, 1024])
+def test_every_pair_of_a_bucket_is_compared(block):
+    """Links given out join the same classes as all exact pairs do, also of copies that samples take for unlike."""
+    rng = np.random.default_rng(5)
+    weights = np.ones(1 << 8, np.float32)
+    base = rng.integers(0, 1 << 32, 300, dtype=np.uint64)
+    rows = []
+    for i in range(30):
+        own = np.concatenate([base[: 300 - 2 * i], rng.integers(0, 1 << 32, 2 * i, dtype=np.uint64)])
+        rows.append(np.sort(np.concatenate([own, *[own[:100]] * (i % 4)])).astype("<u4"))
+    names = [bytes([i]) * 16 for i in range(len(rows))]
+    table = pa.table({"bucket": pa.array([1] * 60, pa.int64()), "mine": pa.array([0] * 60, pa.int32()), "other": pa.array([0] * 60, pa.int32()),
+                      "node": pa.array(names * 2, pa.binary()), "label": pa.array(names * 2, pa.binary()),
+                      "shingles": pa.array([r.tobytes() for r in rows] * 2, pa.binary()), "asks": [True] * 30 + [False] * 30})
+
+    class Shared:
+        value = weights
+
+    got = [r for batch in near_dedup._alike(near_dedup.Settings(), Shared, piece=block * 300)(iter(table.to_batches())) for r in batch.to_pylist()]
+
+    def joined(pairs):
+        parent = {n: n for n in names}
+
+        def root(n):
+            while parent[n] != n:
+                n = parent[n]
+            return n
+
+        for x, y in pairs:
+            x, y = sorted((root(x), root(y)))
+            parent[y] = x
+        return {n: root(n) for n in names}
+
+    all_pairs = [(names[i], names[j]) for j in range(30) for i in range(j) if max(near_dedup.similarity(rows[i], rows[j], weights)) >= 0.8]
+    assert joined([(r["a"], r["b"]) for r in got]) == joined(all_pairs)
+    assert set((r["a"], r["b"]) for r in got) <= set(all_pairs)
+
+
 def test_near_duplicates_of_odd_rows(odd_documents):
     rows = near_dedup.classes(odd_documents).collect()
     assert len(rows) == odd_documents.count()
