@@ -13,9 +13,13 @@ edited shingles of a near copy outweigh the many shared ones of a large group.
 3. In each bucket the most central node (the one whose buckets are fullest)
    leads; all members are compared with it by weighted Jaccard similarity. So a
    group of n copies costs about n comparisons, not n squared.
-4. Members without a link to their leader are held against the bucket's members of
-   other classes, in blocks of bounded size. Every such pair is compared exactly, by
-   products of shingle rows; one link joins two classes of a block and is given out.
+4. Links so far form classes. In a bucket with several of them, members outside its
+   largest class are compared with all its members, in rounds: the first round takes
+   ``block`` of them as new leaders, each further one four times as many as the last.
+   Between rounds classes are joined, and buckets of one class are done. So a round's
+   rows grow with the bucket and with its leaders over ``block``; a large group that
+   hangs together costs one round. Every pair is compared exactly, by products of
+   shingle rows; one link joins two classes of a block and is given out.
 5. Links form classes (label propagation in the shared folder).
 
 A pair counts as near duplicates from ``threshold`` on, by weighted or by plain
@@ -370,7 +374,7 @@ def _tokens(content: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _alike(settings: Settings, weights, piece: int = 1 << 20):
-    """Links of asking members to members of their bucket in other classes, all compared exactly.
+    """Links (and the classes they join) of asking members to members of their bucket in other classes, all compared exactly.
 
     Within a group one link joins two classes; members of one class need no further comparison.
     """
@@ -384,7 +388,8 @@ def _alike(settings: Settings, weights, piece: int = 1 << 20):
 
     def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
         names = table.column("node").to_pylist()
-        labels = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)[1]
+        classes = table.column("label").to_pylist()
+        labels = np.unique(np.array([x.hex() for x in classes]), return_inverse=True)[1]
         asks = table.column("asks").to_numpy()
         content = table.column("shingles").combine_chunks()
         length = np.array([len(x.as_buffer()) // 4 for x in content], np.int64)
@@ -421,8 +426,8 @@ def _alike(settings: Settings, weights, piece: int = 1 << 20):
                             out.append((x, y))
                             of[of == of[y - a]] = of[x - a]
         if out:
-            first, second = zip(*({tuple(sorted((names[x], names[y]))) for x, y in out}))
-            yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=["a", "b"])
+            rows = {tuple(sorted((names[x], names[y]))) + tuple(sorted((classes[x], classes[y]))) for x, y in out}
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["a", "b", "label_a", "label_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by group; a group that goes on in the next batch waits for it."""
@@ -452,33 +457,55 @@ def links(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     members = written(buckets.join(central, "node").select("bucket", "size", F.struct("order", "node").alias("member")), "buckets")
     features = written(_candidate_features(docs, members.select("member.node").distinct(), settings), "shingles")
     leaders = members.groupBy("bucket").agg(F.min("member").alias("leader"))
-    stars = written(members.join(leaders, "bucket").filter(F.col("member") != F.col("leader")).select(
-        "bucket", "size", F.least("leader.node", "member.node").alias("a"), F.greatest("leader.node", "member.node").alias("b"),
-        F.col("member.node").alias("node")), "stars")
-    checked = written(verified(stars.select("a", "b").distinct(), features, weights, settings), "pairs")
-    found = checked.filter("linked").select("a", "b")
-    still = written(stars.join(found, ["a", "b"], "left_anti").select("bucket", "node", "size"), "open")
-    if not still.take(1):
-        return found
-    label = components(found)
-
-    def placed(rows: DataFrame, asks: bool) -> DataFrame:
-        """Rows dealt to pairs of blocks of their bucket: the asking side's own block, and each block of the other side."""
-        parts = F.ceil(F.col("size") / F.lit(settings.block)).cast("int")
-        own = F.pmod(F.xxhash64("node"), parts).cast("int")
-        every = F.explode(F.sequence(F.lit(0), parts - 1))
-        sides = [own.alias("mine"), every.alias("other")] if asks else [every.alias("mine"), own.alias("other")]
-        return rows.select("bucket", *sides, "node", F.lit(asks).alias("asks"))
-
-    all_members = members.select("bucket", "size", F.col("member.node").alias("node")).join(
-        still.select("bucket").distinct(), "bucket", "left_semi")
-    dealt = placed(still, True).unionByName(placed(all_members, False))
-    known = features.join(label, "node", "left").select("node", "shingles", F.coalesce("label", "node").alias("label"))
+    stars = members.join(leaders, "bucket").filter(F.col("member") != F.col("leader")).select(
+        F.least("leader.node", "member.node").alias("a"), F.greatest("leader.node", "member.node").alias("b")).distinct()
+    found = written(verified(stars, features, weights, settings).filter("linked").select("a", "b"), "pairs")
+    led = members.join(leaders, "bucket").select("bucket", F.col("member.node").alias("node"), (F.col("member") == F.col("leader")).alias("led"))
+    state = written(led.join(components(found), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"), "led"), "classes")
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    more = (dealt.join(known, "node").select("bucket", "mine", "other", "node", "label", "shingles", "asks")
+    most = settings.block
+    while True:
+        state = written(_asking(state, most), "asking")
+        if not state.take(1):
+            return found
+        dealt = _placed(state.filter("asks"), settings.block, True).unionByName(_placed(state, settings.block, False))
+        more = written(
+            dealt.join(features, "node").select("bucket", "mine", "other", "node", "label", "shingles", "asks")
             .repartition("bucket", "mine", "other").sortWithinPartitions("bucket", "mine", "other")
-            .mapInArrow(_alike(settings, shared), "a binary, b binary").distinct())
-    return found.unionByName(written(more, "more-links"))
+            .mapInArrow(_alike(settings, shared), "a binary, b binary, label_a binary, label_b binary").distinct(), "more-links")
+        found = found.unionByName(more.select("a", "b"))
+        joined = components(more.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).select(
+            F.col("node").alias("label"), F.col("label").alias("after"))
+        state = state.join(joined, "label", "left").select(
+            "bucket", "node", F.coalesce("after", "label").alias("label"), (F.col("led") | F.col("asks")).alias("led"))
+        most *= 4
+
+
+def _asking(state: DataFrame, most: int) -> DataFrame:
+    """Members (bucket, node, label, led) of the buckets where a pair of two classes is still to be compared, with asks (leads
+    in this round: about ``most`` of a bucket at a time), and the bucket's numbers of members and of leaders.
+
+    ``led`` members have been compared with their whole bucket. Of two members of different classes one is outside the
+    largest class, so all pairs are done once everyone outside it has led.
+    """
+    parts = state.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("led"), 0).otherwise(1)).alias("open"))
+    of = (parts.groupBy("bucket").agg(F.max(F.struct("n", "label", "open")).alias("main"), F.sum("n").alias("size"), F.sum("open").alias("all_open"))
+          .select("bucket", F.col("main.label").alias("main"), "size", (F.col("all_open") - F.col("main.open")).alias("left"))
+          .filter("left > 0"))
+    share = F.ceil(F.col("left") / F.lit(most))
+    turn = F.pmod(F.xxhash64(F.lit(most), "node"), share) == 0
+    return state.join(of, "bucket").select(
+        "bucket", "node", "label", "led", (~F.col("led") & (F.col("label") != F.col("main")) & turn).alias("asks"), "size",
+        F.least("left", F.lit(most).cast("long")).alias("leaders"))
+
+
+def _placed(rows: DataFrame, block: int, asks: bool) -> DataFrame:
+    """Rows dealt to pairs of blocks: leaders to their own block and each block of members, members to their own and each block of leaders."""
+    side, across = ("leaders", "size") if asks else ("size", "leaders")
+    own = F.pmod(F.xxhash64("node"), F.ceil(F.col(side) / F.lit(block))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), (F.ceil(F.col(across) / F.lit(block)) - 1).cast("int")))
+    sides = [own.alias("mine"), every.alias("other")] if asks else [every.alias("mine"), own.alias("other")]
+    return rows.select("bucket", *sides, "node", "label", F.lit(asks).alias("asks"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -172,6 +172,26 @@ def test_every_pair_of_a_bucket_is_compared(block):
     assert set((r["a"], r["b"]) for r in got) <= set(all_pairs)
 
 
+def test_open_members_of_one_class_are_not_compared(spark):
+    """Rows of a round: none for buckets of one class, members once and few leaders for the others."""
+    rows = [(1, f"{i:016d}".encode(), b"x", i == 0) for i in range(2000)]                                # one class, 1999 without a link to the leader
+    rows += [(2, f"{i:016d}".encode(), b"x" if i < 1990 else b"%d" % i, i == 0) for i in range(2000)]    # ten others
+    rows += [(3, f"{i:016d}".encode(), b"%d" % i, i == 0) for i in range(500)]                           # all apart
+    state = spark.createDataFrame(rows, "bucket long, node binary, label binary, led boolean")
+    asking = near_dedup._asking(state, 64)
+    dealt = near_dedup._placed(asking.filter("asks"), 64, True).unionByName(near_dedup._placed(asking, 64, False))
+    counts = {(r.bucket, r.asks): r["count"] for r in dealt.groupBy("bucket", "asks").count().collect()}
+    assert {b for b, _ in counts} == {2, 3}
+    assert counts[2, False] == 2000 and counts[2, True] == 10 * 32
+    assert counts[3, False] == 500 and 0 < counts[3, True] <= 130 * 8
+    pairs = dealt.select("bucket", "mine", "other", "node", "asks")
+    a, b = pairs.filter("asks").alias("a"), pairs.filter("not asks").alias("b")
+    met = a.join(b, ["bucket", "mine", "other"]).groupBy("bucket", "a.node").agg(F.countDistinct("b.node").alias("n")).collect()
+    assert {(r.bucket, r.n) for r in met} == {(2, 2000), (3, 500)}          # each leader meets the whole bucket
+    led = state.withColumn("led", F.expr("led or bucket = 2 and label <> 'x' or bucket = 3"))
+    assert near_dedup._asking(led, 64).count() == 0
+
+
 def test_near_duplicates_of_odd_rows(odd_documents):
     rows = near_dedup.classes(odd_documents).collect()
     assert len(rows) == odd_documents.count()
