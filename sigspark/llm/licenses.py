@@ -3,7 +3,7 @@
 A text is lower-cased (A-Z) and taken as words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. One automaton finds
 all notice phrases and identifier tags in a single pass over the words joined
 by blanks, so a phrase matches wherever its words stand consecutively. Behind
-an identifier tag the rest of the raw line is read as a licence expression
+an identifier tag the rest of the raw line, of any length, is read as a licence expression
 (``or`` < ``and`` < ``with``, brackets, either case). The expression gives its
 identifiers as labels and an openness between 0 and 1.
 
@@ -15,7 +15,7 @@ phrases count each time.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,19 +68,21 @@ def label_of(identifier: str) -> str:
     return ALIASES.get(name, name)
 
 
-def tokens(line: str) -> list[str]:
+def tokens(line: str) -> Iterator[str]:
     """Brackets, operators and identifiers up to the first other character."""
-    out, at = [], 0
+    at = 0
     while m := _TOKEN.match(line, at):
-        out.append(m[1] or m[2].rstrip(".:-"))
+        if token := m[1] or m[2].rstrip(".:-"):
+            yield token
         at = m.end()
-    return [t for t in out if t]
 
 
-def leading_expression(parts: list[str]) -> list[str]:
-    """The longest start of the tokens that may be one expression: prose behind it ends it."""
+def leading_expression(parts: Iterable[str]) -> list[str]:
+    """The longest start of the tokens that may be one expression: prose behind it ends it and is not read."""
     depth, operand, end = 0, True, 0
+    taken: list[str] = []
     for i, t in enumerate(parts):
+        taken.append(t)
         word = t.lower()
         if operand and t == "(":
             depth += 1
@@ -94,7 +96,7 @@ def leading_expression(parts: list[str]) -> list[str]:
             break
         if not operand and not depth:
             end = i + 1
-    return parts[:end]
+    return taken[:end]
 
 
 def to_postfix(parts: list[str]) -> list[str] | None:
@@ -154,11 +156,10 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float]:
 
 def read_expression(line: str) -> tuple[set[str], float]:
     """Labels and openness of the expression at the start of a line."""
-    found = tokens(line)
-    postfix = to_postfix(leading_expression(found))
+    postfix = to_postfix(leading_expression(tokens(line)))
     if postfix:
         return evaluate(postfix)
-    known = {label_of(t) for t in found} & set(OPENNESS)
+    known = {label_of(t) for t in tokens(line)} & set(OPENNESS)
     return known, 0.0
 
 
@@ -192,6 +193,7 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: dict[str,
 
     def scan_batch(machine, batch: pa.RecordBatch) -> pa.RecordBatch:
         buf, off = column_buffer(batch.column(1))
+        content = buf.tobytes()
         low = lower_ascii(buf)
         starts, ends, rows = word_spans(low, off)
         n = batch.num_rows
@@ -227,7 +229,8 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: dict[str,
                     continue
                 a = int(ends[w + count - 1])
                 stop = int(off[r + 1])
-                raw = buf[a: min(stop, a + 2000)].tobytes().split(b"\n")[0].decode("utf-8", "ignore")
+                newline = content.find(b"\n", a, stop)
+                raw = content[a: stop if newline < 0 else newline].decode("utf-8", "ignore")
                 labels, value = read_expression(raw.lstrip(" \t:=\"'"))
                 expressions[r].append({"word": word_no, "labels": sorted(labels), "openness": value})
                 openness[r] = min(openness[r], value)

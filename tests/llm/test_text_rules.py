@@ -72,6 +72,16 @@ def test_license_scan_against_words(spark, odd_documents):
     assert licenses.scan(rows.limit(0)).count() == 0
 
 
+def test_license_expressions_of_any_length(spark):
+    many = " OR ".join(["GPL-3.0-only"] * 400)
+    rows = spark.createDataFrame([
+        (1, f"SPDX-License-Identifier: ({many} OR MIT) AND CC-BY-NC-4.0\nOR 0BSD"),
+        (2, "SPDX-License-Identifier: " + "Apache-2.0 and " * 160 + "MPL-2.0 " + "prose goes on " * 300),
+        (3, "License-Expression: (MIT AND " + " " * 3000 + "EPL-2.0)")], "doc_id long, text string")
+    got = {r.doc: (r.labels, round(r.score, 6)) for r in licenses.summary(licenses.scan(rows)).collect()}
+    assert got == {1: ("cc-by-nc,gpl-3,mit", 0.1), 2: ("apache-2,mpl", 0.6), 3: ("epl,mit", 0.6)}
+
+
 def measures(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = Counter(tuple(w[i: i + 8]) for i in range(len(w) - 7))
