@@ -176,27 +176,34 @@ class Sampler:
         self.b = rng.random(self.TABLE).astype(np.float32)
         self.factor = rng.integers(1, 1 << 63, self.n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def samples(self, found: np.ndarray, weight: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """(rows, samples) 64-bit sample names; every row must have a shingle."""
+    def samples(self, found: np.ndarray, weight: np.ndarray, off: np.ndarray, piece: int = 1 << 15) -> np.ndarray:
+        """(rows, samples) 64-bit sample names; every row must have a shingle. Rows go in pieces that fit the cache."""
         rows = len(off) - 1
         out = np.empty((rows, self.n), np.uint64)
+        a = 0
+        while a < rows:
+            b = min(rows, max(a + 1, int(np.searchsorted(off, off[a] + piece, side="right")) - 1))
+            self._samples(found[off[a]: off[b]], weight[off[a]: off[b]], off[a: b + 1] - off[a], out[a: b])
+            a = b
+        return out
+
+    def _samples(self, found: np.ndarray, weight: np.ndarray, off: np.ndarray, out: np.ndarray) -> None:
+        rows = len(off) - 1
         log_w = np.log(weight).astype(np.float32)
         wide = mix64(found.astype(np.uint64))
         size = np.diff(off)
-        row_of = np.repeat(np.arange(rows), size)
-        mask = np.uint64(self.TABLE - 1)
         for i in range(self.n):
             x = wide * self.factor[i]
             x ^= x >> np.uint64(31)
-            r = self.r[(x >> np.uint64(48)).astype(np.int64)]
-            b = self.b[((x >> np.uint64(16)) & mask).astype(np.int64)]
+            places = x.astype("<u8", copy=False).view("<u2").reshape(-1, 4)     # 16 bits each, the lowest first
+            r, b = self.r.take(places[:, 3]), self.b.take(places[:, 1])
             t = np.floor(log_w / r + b)
-            score = self.log_c[((x >> np.uint64(32)) & mask).astype(np.int64)] - r * (t - b + np.float32(1.0))
-            best = np.minimum.reduceat(score, off[:-1])
-            at = np.flatnonzero(score == best[row_of])
-            at = at[np.concatenate([[True], np.diff(row_of[at]) > 0])]      # the smallest shingle among equals
+            score = self.log_c.take(places[:, 2]) - r * (t - b + np.float32(1.0))
+            at = np.flatnonzero(score == np.repeat(np.minimum.reduceat(score, off[:-1]), size))
+            if len(at) > rows:                                             # the smallest shingle among equals
+                row = np.searchsorted(off, at, side="right")
+                at = at[np.concatenate([[True], np.diff(row) > 0])]
             out[:, i] = mix64(wide[at] + t[at].astype(np.int64).view(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        return out
 
     def plain_samples(self, found: np.ndarray, off: np.ndarray) -> np.ndarray:
         """(rows, samples) of the distinct shingles, all of weight 1; every row must have a shingle."""
