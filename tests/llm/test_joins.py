@@ -48,6 +48,18 @@ def test_top_k_of_few_rows(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 3 == 0).count() == 0
 
 
+@pytest.mark.parametrize("pivots", [3, 64])
+def test_top_k_of_mixed_lengths(spark, monkeypatch, pivots):
+    """Rows of every length take part, whichever are pivots; queries of a cell come in blocks."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    rnd = random.Random(pivots)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(rnd.choice([1, 3, 6, 6, 6]))]) for i in range(150)]
+    rows += [(200 + i, [rnd.uniform(-1, 1) for _ in range(40)]) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df.repartition(4), F.col("vec_id") % 3 == 0, k=10, pivots=pivots, block_rows=20).collect()
+    assert sorted(tuple(r) for r in got) == brute_top_k(rows, 10)
+
+
 def shingle_set(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
     return {tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
