@@ -49,18 +49,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (set by the cluster). Only a local master may leave
-    it unset (tests): a private scratch folder is then created and registered.
+    it unset (tests): a private scratch folder is then created and kept by the Spark context,
+    since a running session does not accept the key.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not d:
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    registered = context.getCheckpointDir()
+    if configured:
+        if registered is None:
+            context.setCheckpointDir(configured)
+        return configured
+    if registered is None:
         if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local") or "local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        d = tempfile.mkdtemp(prefix="sigspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sigspark-ckpt-"))
+        registered = context.getCheckpointDir()
+    return registered
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

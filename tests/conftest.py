@@ -1,18 +1,17 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF_SMALL = "/root/testdata/sf0.001"
+
+@pytest.fixture(scope="session")
+def sf_small():
+    return "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
 def spark():
     from sigspark.session import get_session
-    s = get_session("local[4]", shuffle_partitions=8)
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="sigspark-test-"))
-    yield s
+    yield get_session("local[4]", shuffle_partitions=8)

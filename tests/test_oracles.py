@@ -6,8 +6,6 @@ import __spark_entry__ as entry
 from scripts.check_oracle import rows_of
 from sigspark.sources.tables import TABLES
 
-from conftest import SF_SMALL
-
 FAST = ["ft_byte_summary", "agg_split_overview", "agg_field_coverage", "agg_numeric_summary", "agg_stage2_summary",
         "agg_label_map", "agg_family_coverage", "join_full_counts", "win_stratified_split", "win_time_series_split",
         "met_roc_auc", "met_pr_auc", "met_best_f1_threshold", "met_multiclass_report", "csc_predict",
@@ -15,10 +13,10 @@ FAST = ["ft_byte_summary", "agg_split_overview", "agg_field_coverage", "agg_nume
 
 
 @pytest.fixture(scope="module")
-def duck():
+def duck(sf_small):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_small}/{t}.parquet')")
     return con
 
 
@@ -29,8 +27,8 @@ def test_every_query_has_a_callable():
 
 
 @pytest.mark.parametrize("name", FAST)
-def test_query_matches_oracle(spark, duck, name):
-    df = entry.queries()[name](spark, SF_SMALL)
+def test_query_matches_oracle(spark, duck, sf_small, name):
+    df = entry.queries()[name](spark, sf_small)
     a, ac = rows_of(df.columns, [tuple(r) for r in df.collect()])
     cur = duck.execute(entry.oracle_sql()[name])
     b, bc = rows_of([d[0] for d in cur.description], cur.fetchall())

@@ -6,11 +6,9 @@ from sigspark.functions import pe
 from sigspark.functions.warnings import normalize_warning
 from sigspark.sources.pe_standin import pe_records
 
-from conftest import SF_SMALL
 
-
-def test_python_and_jvm_token_rules_agree(spark):
-    r = pe_records(spark, SF_SMALL).where("raw.section IS NOT NULL").limit(20)
+def test_python_and_jvm_token_rules_agree(spark, sf_small):
+    r = pe_records(spark, sf_small).where("raw.section IS NOT NULL").limit(20)
     raw = F.col("raw")
     specs = [(b, spec) for b in ["section", "imports", "exports", "richheader"] for spec in pe.HASH_INPUTS[b](raw)]
     jvm = r.select("raw", *[s[1].alias(f"t{i}") for i, (_, s) in enumerate(specs)]).collect()
@@ -25,9 +23,9 @@ def test_python_and_jvm_token_rules_agree(spark):
         assert np.allclose(np.concatenate(parts), np.array(g["h"]), atol=1e-4)
 
 
-def test_full_vector_width(spark):
+def test_full_vector_width(spark, sf_small):
     from sigspark.operators.featurize import vectorize_bytes_and_record
-    v = vectorize_bytes_and_record(spark, SF_SMALL).select(F.size("features").alias("n")).distinct().collect()
+    v = vectorize_bytes_and_record(spark, sf_small).select(F.size("features").alias("n")).distinct().collect()
     assert [r["n"] for r in v] == [pe.VECTOR_DIM] == [2568]
 
 
@@ -38,8 +36,8 @@ def test_warning_normalize(spark):
     assert out == ["Corrupt header...", "...SizeOfRawData is larger than file.", None]
 
 
-def test_empty_blocks_are_zero(spark):
-    r = pe_records(spark, SF_SMALL).where("raw.header IS NULL").limit(5)
+def test_empty_blocks_are_zero(spark, sf_small):
+    r = pe_records(spark, sf_small).where("raw.header IS NULL").limit(5)
     v = pe.assemble(r, "raw", ["header", "section", "imports", "exports", "datadirectories", "richheader",
                                "authenticode", "pefilewarnings"])
     for row in v.select("features").collect():
