@@ -10,6 +10,9 @@ epoch runs on the sample's partitions in parallel and their states are averaged
 by Spark. A temperature is then fitted on sample documents that training left
 out, so that scores are calibrated probabilities.
 
+N-grams are made in pieces of bounded bytes; a text longer than a piece goes on
+over several, so one very long text needs no more memory than many short ones.
+
 Defined cases: null text or text without letters gives ``und`` with score 0;
 nothing to learn from gives ``und`` everywhere; ties between classes go to the
 first in sorted order; repeated rows come out once each; null ids are neither
@@ -34,6 +37,9 @@ from sigspark.llm.text import column_buffer, mix64, slices
 
 UNDETERMINED = "und"
 
+#: Bytes of text whose n-grams are held at once.
+PIECE_BYTES = 256 << 10
+
 _LETTERS: np.ndarray | None = None
 
 
@@ -70,39 +76,83 @@ class Model:
     settings: Settings
 
 
-def _grams(column: pa.Array, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashed n-grams in row order, row offsets, letters in each row) of a text column."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = pc.utf8_lower(column.fill_null("").cast(pa.large_string()))
-    sizes = pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-    buf, _ = column_buffer(column)
-    code = np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    letter = _letters()[code]
-    count = np.bincount(row[letter], minlength=len(sizes))
-    keep = letter.copy()
-    # the first other character behind a letter of the same row stays as a blank
-    keep[1:] |= ~letter[1:] & letter[:-1] & (row[1:] == row[:-1])
-    code = np.where(letter, code, np.uint32(32))[keep].astype(np.uint64)
-    row = row[keep]
-    parts, rows = [], []
-    value = np.zeros(len(code), np.uint64)
-    for n in range(1, settings.max_n + 1):
-        if len(code) < n:
-            break
-        value = value[: len(code) - n + 1] * np.uint64(0x110001) + code[n - 1:] + np.uint64(1)
-        inside = row[: len(code) - n + 1] == row[n - 1:]
-        hashed = mix64(value * np.uint64(8) + np.uint64(n)) % np.uint64(settings.buckets)
-        parts.append(hashed[inside].astype(np.int32))
-        rows.append(row[: len(inside)][inside])
-    if not parts:
-        return np.zeros(0, np.int32), np.zeros(len(sizes) + 1, np.int64), count
-    flat, at = np.concatenate(parts), np.concatenate(rows)
-    if len(parts) > 1:
-        order = np.argsort(at, kind="stable")
-        flat, at = flat[order], at[order]
-    return flat, np.searchsorted(at, np.arange(len(sizes) + 1)), count
+@dataclass(frozen=True)
+class Piece:
+    """Hashed n-grams of consecutive rows of a batch, in row order; a long row goes on over several pieces."""
+    first: int                  # the first row's place in the batch
+    flat: np.ndarray
+    off: np.ndarray             # row offsets into flat
+    letters: np.ndarray         # letters in each row
+    goes_on: bool               # the first row began in an earlier piece
+    unfinished: bool            # the last row ends in a later piece
+
+
+def _cuts(buf: np.ndarray, off: np.ndarray, limit: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, row behind the last, first byte, byte behind the last) of pieces of about ``limit`` bytes.
+
+    Cuts lie between rows; rows above the limit are cut between characters.
+    """
+    row, rows = 0, len(off) - 1
+    while row < rows:
+        end = int(np.searchsorted(off, off[row] + limit, side="right")) - 1
+        if end > row:
+            yield row, end, int(off[row]), int(off[end])
+            row = end
+            continue
+        at, stop = int(off[row]), int(off[row + 1])
+        while at < stop:
+            to = min(stop, at + limit)
+            while to < stop and buf[to] & 0xC0 == 0x80:          # inside a character
+                to += 1
+            yield row, row + 1, at, to
+            at = to
+        row += 1
+
+
+def _grams(column: pa.Array, settings: Settings, limit: int = PIECE_BYTES) -> Iterator[Piece]:
+    """The n-grams of a text column, piece by piece: memory follows ``limit``, not the batch or its longest text."""
+    buf, off = column_buffer(column)
+    tail, in_word = np.zeros(0, np.uint32), False                # of the text so far, where a piece goes on with it
+    for first, end, a, b in _cuts(buf, off, limit):
+        goes_on, unfinished = a > off[first], b < off[end]
+        inner = np.clip(off[first: end + 1], a, b) - a
+        texts = pa.LargeStringArray.from_buffers(end - first, pa.py_buffer(inner.astype(np.int64)), pa.py_buffer(buf[a:b].tobytes()))
+        lower = pc.utf8_lower(texts)
+        sizes = pc.utf8_length(lower).to_numpy(zero_copy_only=False).astype(np.int64)
+        code = np.frombuffer(column_buffer(lower)[0].tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
+        row = np.repeat(np.arange(end - first, dtype=np.int32), sizes)
+        letter = _letters()[code]
+        letters = np.bincount(row[letter], minlength=end - first)
+        keep = letter.copy()
+        # the first other character behind a letter of the same row stays as a blank
+        keep[1:] |= ~letter[1:] & letter[:-1] & (row[1:] == row[:-1])
+        if goes_on and len(keep):
+            keep[0] |= in_word
+        if not goes_on:
+            tail = tail[:0]
+        in_word = bool(letter[-1]) if len(letter) else in_word
+        old = len(tail)
+        code = np.concatenate([tail, np.where(letter, code, np.uint32(32))[keep]])
+        row = np.concatenate([np.zeros(old, np.int32), row[keep]])
+        tail = code[max(0, len(code) - settings.max_n + 1):] if unfinished else tail[:0]
+        value, found = np.zeros(len(code), np.uint64), []
+        for n in range(1, settings.max_n + 1):
+            if len(code) < n:
+                break
+            value = value[: len(code) - n + 1] * np.uint64(0x110001) + code[n - 1:] + np.uint64(1)
+            # inside one row, and not among the n-grams of the piece before
+            take = row[: len(code) - n + 1] == row[n - 1:]
+            take[: max(0, old - n + 1)] = False
+            hashed = mix64(value[take] * np.uint64(8) + np.uint64(n)) % np.uint64(settings.buckets)
+            found.append((hashed.astype(np.int32), row[: len(take)][take]))
+        counts = [np.bincount(r, minlength=end - first) for _, r in found]
+        total = sum(counts) if counts else np.zeros(end - first, np.int64)
+        start = np.concatenate([[0], np.cumsum(total)])
+        flat, place = np.empty(int(start[-1]), np.int32), start[:-1].copy()
+        for (hashed, r), n in zip(found, counts):                # each row's n-grams of one length behind the shorter ones
+            flat[np.arange(len(r)) + (place - (np.cumsum(n) - n))[r]] = hashed
+            place += n
+        yield Piece(first, flat, start, letters, goes_on, unfinished)
 
 
 def document_frequencies(docs: DataFrame, settings: Settings) -> tuple[int, np.ndarray]:
@@ -110,16 +160,23 @@ def document_frequencies(docs: DataFrame, settings: Settings) -> tuple[int, np.n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(settings.buckets, np.int64)
         mark = np.zeros(settings.buckets, np.int64)
+        counted = np.zeros(settings.buckets, bool)              # for a row of several pieces
         n = 0
-        for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
-                flat, off, _ = _grams(batch.column(0), settings)
-                n += batch.num_rows
-                for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-                    grams = flat[a:b]
-                    place = np.arange(b - a)
+        for batch in batches:
+            n += batch.num_rows
+            for p in _grams(batch.column(0), settings):
+                last = len(p.off) - 2
+                for i, (a, b) in enumerate(zip(p.off[:-1].tolist(), p.off[1:].tolist())):
+                    grams = p.flat[a:b]
+                    if p.goes_on and i == 0:
+                        grams = grams[~counted[grams]]
+                    place = np.arange(len(grams))
                     mark[grams] = place                         # the last place wins: one for each distinct n-gram
                     df[grams[mark[grams] == place]] += 1
+                    if p.unfinished and i == last:
+                        counted[grams] = True
+                    elif p.goes_on and i == 0:
+                        counted[:] = False
         block = 4096
         starts = list(range(0, settings.buckets, block))
         yield pa.RecordBatch.from_arrays(
@@ -145,12 +202,22 @@ def _features(docs: DataFrame, classes: list[str], settings: Settings) -> DataFr
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
-                flat, off, _ = _grams(batch.column(0), settings)
-                index, share = [], []
-                for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-                    u, c = np.unique(flat[a:b], return_counts=True)
-                    index.append(u.astype("<i4").tobytes())
-                    share.append((c / max(1, b - a)).astype("<f4").tobytes())
+                index, share = [b""] * batch.num_rows, [b""] * batch.num_rows
+                held = None                                     # counts of a row of several pieces
+                for p in _grams(batch.column(0), settings):
+                    last = len(p.off) - 2
+                    for i, (a, b) in enumerate(zip(p.off[:-1].tolist(), p.off[1:].tolist())):
+                        if p.goes_on or (p.unfinished and i == last):
+                            got = np.bincount(p.flat[a:b], minlength=settings.buckets)
+                            held = got if held is None else held + got
+                            if p.unfinished:
+                                continue
+                            u = np.flatnonzero(held)
+                            c, held = held[u], None
+                        else:
+                            u, c = np.unique(p.flat[a:b], return_counts=True)
+                        index[p.first + i] = u.astype("<i4").tobytes()
+                        share[p.first + i] = (c / max(1, int(c.sum()))).astype("<f4").tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(2), pa.array([number[x] for x in batch.column(1).to_pylist()], pa.int32()),
                      pa.array(index, pa.binary()), pa.array(share, pa.binary())], names=["part", "label", "index", "share"])
@@ -265,22 +332,26 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: dict[s
         classes, weights, bias, temperature, settings = shared.value
         names = pa.array([*classes, UNDETERMINED])
         tables = [np.ascontiguousarray(weights[:, c]) for c in range(len(classes))]
-        for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
-                flat, off, letters = _grams(batch.column(0), settings)
-                rows, size = batch.num_rows, np.diff(off)
-                best = np.full(rows, len(classes), np.int64)
-                score = np.zeros(rows)
-                there = np.flatnonzero((letters > 0) & (size > 0))
-                if len(there) and classes:
-                    logits = np.stack([np.add.reduceat(t[flat], off[there], dtype=np.float64) / size[there] for t in tables],
-                                      axis=1) + bias
-                    p = _softmax(logits / temperature)
-                    best[there] = p.argmax(axis=1)
-                    score[there] = p.max(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[1:], names.take(pa.array(best)), pa.array(np.clip(score, 0.0, 1.0))],
-                    names=[*batch.schema.names[1:], "lang_pred", "score"])
+        for batch in batches:
+            rows = batch.num_rows
+            sums, size, letters = np.zeros((rows, len(classes))), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+            for p in _grams(batch.column(0), settings):
+                here = np.flatnonzero(np.diff(p.off))
+                for c, t in enumerate(tables):
+                    if len(here):
+                        sums[p.first + here, c] += np.add.reduceat(t[p.flat], p.off[here], dtype=np.float64)
+                size[p.first: p.first + len(p.letters)] += np.diff(p.off)
+                letters[p.first: p.first + len(p.letters)] += p.letters
+            best = np.full(rows, len(classes), np.int64)
+            score = np.zeros(rows)
+            there = np.flatnonzero((letters > 0) & (size > 0))
+            if len(there) and classes:
+                p = _softmax((sums[there] / size[there, None] + bias) / temperature)
+                best[there] = p.argmax(axis=1)
+                score[there] = p.max(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], names.take(pa.array(best)), pa.array(np.clip(score, 0.0, 1.0))],
+                names=[*batch.schema.names[1:], "lang_pred", "score"])
 
     schema = base.drop("text").schema.add("lang_pred", "string").add("score", "double")
     return base.mapInArrow(run, schema)
