@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe, langid, licenses, near_dedup, ngram_lm, packing, quality, suffix_dedup, token_files, topk
+from sigspark.llm import bpe, hard_negatives, langid, licenses, near_dedup, ngram_lm, packing, quality, suffix_dedup, token_files, topk
 from sigspark.llm.frames import crc_mod, documents
 from sigspark.llm.tokenization import tokenizer_path
 
@@ -62,6 +62,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -73,6 +79,7 @@ QUERIES = {
     "op8_bpe_tree": op8_bpe_tree,
     "op9_ngram_scores": op9_ngram_scores,
     "op10_token_files": op10_token_files,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -90,4 +97,26 @@ s AS (
     WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 10""",
+    "op11_hard_negatives": """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS vec
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, d.vec_id AS vec_id, a.label = d.label AS same,
+           CAST(list_sum([p[1] * p[2] FOR p IN list_zip(a.vec, d.vec)]) AS BIGINT) AS score
+    FROM v a JOIN v d ON a.vec_id <> d.vec_id
+    WHERE a.vec_id % 100 = 0),
+p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+    FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+ AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY rank <= 5""",
 }
