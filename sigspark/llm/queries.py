@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe, hard_negatives, langid, licenses, near_dedup, ngram_lm, packing, quality, suffix_dedup, token_files, topk
+from sigspark.llm import bpe, hard_negatives, langid, licenses, near_dedup, ngram_lm, packing, quality, ranked_search, suffix_dedup, token_files, topk
 from sigspark.llm.frames import crc_mod, documents
 from sigspark.llm.tokenization import tokenizer_path
 
@@ -68,6 +68,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, label)
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -80,6 +85,7 @@ QUERIES = {
     "op9_ngram_scores": op9_ngram_scores,
     "op10_token_files": op10_token_files,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -119,4 +125,26 @@ SELECT p.anchor_id, p.positive_id,
 FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
  AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
 QUALIFY rank <= 5""",
+    "op13_ranked_search": r"""
+WITH t AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents),
+n AS (SELECT r, count(*) AS n FROM t GROUP BY r),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+q AS (
+    SELECT DISTINCT b, item_id, term
+    FROM (SELECT row_number() OVER () AS b, item_id,
+                 unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+          FROM benchmark)),
+p AS (SELECT r, doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(g.docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY term),
+i AS (
+    SELECT p.r, p.doc_id, p.term, w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * n.n * g.docs) // g.total))) AS impact
+    FROM p JOIN w USING (term) JOIN n USING (r), g),
+s AS (SELECT q.b, q.item_id, i.r, i.doc_id, CAST(sum(i.impact) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50""",
 }
