@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe, hard_negatives, langid, licenses, near_dedup, ngram_lm, packing, quality, ranked_search, suffix_dedup, token_files, topk
+from sigspark.llm import bpe, fingerprints, hard_negatives, langid, licenses, near_dedup, ngram_lm, packing, quality, ranked_search, suffix_dedup, token_files, topk
 from sigspark.llm.frames import crc_mod, documents
 from sigspark.llm.tokenization import tokenizer_path
 
@@ -68,6 +68,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, label)
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(documents(spark, sf_dir)).withColumnRenamed("doc", "doc_id")
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
@@ -85,6 +89,7 @@ QUERIES = {
     "op9_ngram_scores": op9_ngram_scores,
     "op10_token_files": op10_token_files,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_fingerprints": op12_fingerprints,
     "op13_ranked_search": op13_ranked_search,
 }
 
