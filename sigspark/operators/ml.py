@@ -34,12 +34,14 @@ from . import metrics as mt
 from . import splits as sp
 from .joins import attach_weight
 
-MODEL_TYPES = ["logreg", "rf", "mlp", "gbt", "linear_svm", "ridge"]
+MODEL_TYPES = ["logreg", "rf", "mlp", "gbt", "linear_svm", "ridge", "stream_linear", "passive_aggressive"]
+#: Slots trained in passes over the rows; their model is a ``LinearModel``.
+PASS_TYPES = ("stream_linear", "passive_aggressive")
 
 
 @dataclass
 class TrainedModel:
-    model: PipelineModel
+    model: "PipelineModel | LinearModel"
     model_type: str
     problem_type: str
     threshold: float = 0.5
@@ -96,6 +98,13 @@ def _fit_frame(df: DataFrame, y: str, features: str) -> DataFrame:
 def scores_of(model: TrainedModel, df: DataFrame, features: str = "features") -> DataFrame:
     """``ml_scores``: adds ``score`` (binary: positive-class probability or decision
     value) or ``scores`` (multiclass: class probability array in ``classes`` order)."""
+    if isinstance(model.model, LinearModel):
+        out = stream_linear_scores(model.model, df, features)
+        if model.problem_type != "binary":
+            return out
+        # the class with the greater number is the positive one; a model of one class is certain of it
+        positive = F.try_element_at("scores", F.lit(2)) if len(model.model.classes) > 1 else F.lit(float(model.model.classes == [1]))
+        return out.withColumn("score", positive).drop("scores")
     d = with_vector(df.drop("fv") if "fv" in df.columns else df, features)
     out = model.model.transform(d)
     if model.problem_type == "binary":
@@ -153,10 +162,18 @@ def train_classifier(df: DataFrame, model_type: str, params: dict | None = None,
     classes = sorted(int(r[0]) for r in split.select(y).distinct().collect())   # bounded by the class count
     frame = _fit_frame(split, y, features).withColumn("is_val_flag", F.col("is_val"))
     n_cls = max(classes) + 1 if classes else 2
-    stages = _estimator(model_type, problem_type, d, n_cls, params or {}, weighted, int(stats["n"]))
-    train = frame if (params or {}).get("early_stopping") else frame.where(~F.col("is_val"))
-    pm = Pipeline(stages=stages).fit(train)
-    tm = TrainedModel(pm, model_type, problem_type, classes=list(range(n_cls)) if problem_type != "binary" else [0, 1],
+    if model_type in PASS_TYPES:
+        fit = train_stream_linear if model_type == "stream_linear" else train_passive_aggressive
+        rows = split.where(~F.col("is_val")).withColumnRenamed(y, "__y").drop("weight")
+        pm = fit(rows, y="__y", features=features, key=key, seed=seed, class_weight_mode=class_weight_mode,
+                 class_weight_max=class_weight_max, **(params or {}))
+        known = pm.classes
+    else:
+        stages = _estimator(model_type, problem_type, d, n_cls, params or {}, weighted, int(stats["n"]))
+        train = frame if (params or {}).get("early_stopping") else frame.where(~F.col("is_val"))
+        pm = Pipeline(stages=stages).fit(train)
+        known = list(range(n_cls))
+    tm = TrainedModel(pm, model_type, problem_type, classes=known if problem_type != "binary" else [0, 1],
                       params=dict(params or {}))
     if problem_type == "binary":
         val = frame.where(F.col("is_val"))
@@ -182,7 +199,10 @@ def evaluate(model: TrainedModel, df: DataFrame, y: str = "y", threshold: float
 
 def save_model(spark: SparkSession, model: TrainedModel, path: str) -> None:
     """``io_model``: PipelineModel plus a one-row metadata table."""
-    model.model.write().overwrite().save(os.path.join(path, "model"))
+    if isinstance(model.model, LinearModel):
+        save_linear(spark, model.model, os.path.join(path, "linear"))
+    else:
+        model.model.write().overwrite().save(os.path.join(path, "model"))
     meta = [(model.model_type, model.problem_type, float(model.threshold),
              None if model.validation_f1 is None else float(model.validation_f1), json.dumps(model.classes),
              json.dumps(model.params))]
@@ -192,7 +212,8 @@ def save_model(spark: SparkSession, model: TrainedModel, path: str) -> None:
 
 def load_model(spark: SparkSession, path: str) -> TrainedModel:
     m = spark.read.parquet(os.path.join(path, "meta")).first()
-    return TrainedModel(PipelineModel.load(os.path.join(path, "model")), m["model_type"], m["problem_type"],
+    fitted = load_linear(spark, os.path.join(path, "linear")) if m["model_type"] in PASS_TYPES else PipelineModel.load(os.path.join(path, "model"))
+    return TrainedModel(fitted, m["model_type"], m["problem_type"],
                         m["threshold"], m["validation_f1"], json.loads(m["classes"]), json.loads(m["params"]))
 
 
@@ -285,6 +306,20 @@ class LinearModel:
     scale: "object"            # numpy (D,): 1 / population std (1 where std is 0)
 
 
+def save_linear(spark: SparkSession, model: LinearModel, path: str) -> None:
+    """One row for each class, and one (without a class) for the scales."""
+    rows = [(int(c), [float(v) for v in w]) for c, w in zip(model.classes, model.weights)]
+    rows.append((None, [float(v) for v in model.scale]))
+    spark.createDataFrame(rows, "class int, weights array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_linear(spark: SparkSession, path: str) -> LinearModel:
+    rows = {r["class"]: np.array(r["weights"]) for r in spark.read.parquet(path).collect()}      # one row for each class
+    scale = rows.pop(None)
+    classes = sorted(rows)
+    return LinearModel(np.array([rows[c] for c in classes]).reshape(len(classes), len(scale) + 1), classes, scale)
+
+
 def train_stream_linear(df: DataFrame, y: str = "y", features: str = "features", epochs: int = 4,
                         chunk_size: int = 8192, lr: float = 0.5, class_weight_mode: str | None = "balanced_sqrt",
                         class_weight_max: float = 20.0, seed: int = 42, key: str = "sha256") -> LinearModel:
@@ -344,6 +379,75 @@ def train_stream_linear(df: DataFrame, y: str = "y", features: str = "features",
     return LinearModel(W, classes, scale)
 
 
+def passive_aggressive_pass(weights: np.ndarray, x: np.ndarray, y: np.ndarray, rate: np.ndarray, total: np.ndarray) -> None:
+    """One pass of multiclass passive-aggressive steps, in place; ``total`` gathers the weights after every row.
+
+    A row whose own class does not lead its strongest rival by a margin of 1 moves both classes' weights
+    by the smallest step that restores the margin, at most ``rate`` (the aggressiveness times the row's weight).
+    """
+    for row, own, most in zip(x, y, rate):
+        margin = weights @ row
+        ahead = margin[own]
+        margin[own] = -np.inf
+        rival = int(margin.argmax())
+        loss = 1.0 - ahead + margin[rival]
+        if loss > 0:
+            step = min(most, loss / (2.0 * float(row @ row)))
+            weights[own] += step * row
+            weights[rival] -= step * row
+        total += weights
+
+
+def train_passive_aggressive(df: DataFrame, y: str = "y", features: str = "features", epochs: int = 4,
+                             aggressiveness: float = 0.1, class_weight_mode: str | None = "balanced_sqrt",
+                             class_weight_max: float = 20.0, seed: int = 42, key: str = "sha256",
+                             parts: int | None = None) -> LinearModel:
+    """The passive-aggressive slot of ``ml_stream_linear``: scaled rows with a bias, closed-form margin steps, averaged weights.
+
+    Per epoch the rows are dealt anew by a hash of (seed, epoch, key) to ``parts`` partitions; each starts from the last
+    epoch's mean weights and returns its final weights and their average over its rows. Spark means both over the
+    partitions by their rows. The model is the average of all epochs. Rows of the same key lie together; a single
+    class has no rival, so its weights stay 0. Null labels are left out, and so are those of -1.
+    """
+    spark = df.sparkSession
+    lab = df.where(F.col(y) != -1).select(key, F.col(y).cast("int").alias("y"), F.col(features).alias("x"))
+    classes = sorted(int(r[0]) for r in lab.select("y").distinct().collect())
+    place = {c: i for i, c in enumerate(classes)}
+    std = np.array([r["std"] for r in scaler_pass(lab.withColumnRenamed("x", "features")).orderBy("feature").collect()])
+    scale = np.where(std > 0, 1.0 / np.where(std > 0, std, 1.0), 1.0)
+    cw = sp.class_weights(lab, "y", class_weight_mode, class_weight_max)
+    rate = {int(r["y"]): aggressiveness * float(r["weight"]) for r in cw.collect()} if cw is not None else {}
+    k, d = len(classes), len(scale)
+    weights, mean = np.zeros((k, d + 1)), np.zeros((k, d + 1))
+    if k < 2:
+        return LinearModel(mean, classes, scale)
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for epoch in range(1, epochs + 1):
+        shared = spark.sparkContext.broadcast((weights, scale, place, rate))       # classes x features
+
+        def one(batches):
+            w, by, at, rates = shared.value
+            w, total, n = w.copy(), np.zeros_like(w), 0
+            for pdf in batches:
+                if len(pdf):
+                    x = np.vstack(pdf["x"].to_numpy()).astype(np.float64) * by
+                    x = np.hstack([x, np.ones((len(x), 1))])
+                    passive_aggressive_pass(w, x, np.array([at[v] for v in pdf["y"]]),
+                                            np.array([rates.get(int(v), aggressiveness) for v in pdf["y"]]), total)
+                    n += len(pdf)
+            if n:
+                yield pd.DataFrame({"w": [w.ravel().tolist()], "m": [(total / n).ravel().tolist()], "n": [float(n)]})
+
+        dealt = (lab.withColumn("__k", sp.order_key(f"{seed}|{epoch}", key))
+                    .repartition(parts, "__k").sortWithinPartitions("__k", "y").select("y", "x"))
+        got = dealt.mapInPandas(one, "w array<double>, m array<double>, n double").select(
+            Summarizer.mean(array_to_vector("w"), F.col("n")).alias("w"), Summarizer.mean(array_to_vector("m"), F.col("n")).alias("m")).first()
+        weights = np.asarray(got["w"].toArray()).reshape(k, d + 1)
+        mean += np.asarray(got["m"].toArray()).reshape(k, d + 1) / epochs
+        shared.unpersist()
+    return LinearModel(mean, classes, scale)
+
+
 def stream_linear_scores(model: LinearModel, df: DataFrame, features: str = "features") -> DataFrame:
     """Class probabilities (``scores``) with the weights broadcast to an Arrow UDF."""
     from pyspark.sql import types as T

@@ -73,10 +73,10 @@ def select_files(files: DataFrame, subset: str, filetype: str | None = None, wee
 
 
 def gather_feature_paths(spark: SparkSession, data_dir: str, subset: str, filetype: str | None = None,
-                         week: str | None = None) -> list[str]:
+                         week: str | None = None, pattern: str = "*.jsonl", recursive: bool = False) -> list[str]:
     """Sorted list of matching file paths (the listing is metadata, one entry per file);
     raises when nothing matches."""
-    sel = select_files(list_files(spark, data_dir), subset, filetype, week).orderBy("path")
+    sel = select_files(list_files(spark, data_dir, pattern, recursive), subset, filetype, week).orderBy("path")
     paths = [r.path for r in sel.select("path").collect()]
     if not paths:
         raise ValueError(f"no file under {data_dir} has subset {subset!r}, type {filetype!r} and week {week!r} in its name")
