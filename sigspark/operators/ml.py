@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, scratch_path
 from . import metrics as mt
 from . import splits as sp
 from .joins import attach_weight
@@ -138,6 +139,19 @@ def scorer(model: TrainedModel, out: str = "malware_score", features: str = "fea
     return f
 
 
+def without_summary(spark: SparkSession, model: PipelineModel) -> PipelineModel:
+    """The model as it is read back from storage, without the training summary.
+
+    A summary holds the session and the training frame; once the session has used an ``Observation`` it cannot be
+    sent to tasks any more, and a model that carries it neither.
+    """
+    if not any(getattr(stage, "hasSummary", False) for stage in model.stages):
+        return model
+    path = scratch_path(spark, f"fitted-{uuid.uuid4().hex}")
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
 def train_classifier(df: DataFrame, model_type: str, params: dict | None = None, problem_type: str | None = None,
                      validation_size: float = 0.1, seed: int = 42, sample_size: int | None = None,
                      class_weight_mode: str | None = None, class_weight_max: float = 20.0,
@@ -171,7 +185,7 @@ def train_classifier(df: DataFrame, model_type: str, params: dict | None = None,
     else:
         stages = _estimator(model_type, problem_type, d, n_cls, params or {}, weighted, int(stats["n"]))
         train = frame if (params or {}).get("early_stopping") else frame.where(~F.col("is_val"))
-        pm = Pipeline(stages=stages).fit(train)
+        pm = without_summary(df.sparkSession, Pipeline(stages=stages).fit(train))
         known = list(range(n_cls))
     tm = TrainedModel(pm, model_type, problem_type, classes=known if problem_type != "binary" else [0, 1],
                       params=dict(params or {}))
