@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.llm.frames import written
-from sigspark.llm.text import column_buffer, mix64, slices
+from sigspark.llm.text import column_buffer, mix64, returning_memory, slices
 
 UNDETERMINED = "und"
 
@@ -188,7 +188,7 @@ def document_frequencies(docs: DataFrame, settings: Settings) -> tuple[int, np.n
         total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [total.tobytes()]})
 
-    blocks = docs.select("text").mapInArrow(count, "block int, counts binary")
+    blocks = docs.select("text").mapInArrow(returning_memory(count), "block int, counts binary")
     found = {r[0]: np.frombuffer(r[1], np.int64)
              for r in blocks.groupBy("block").applyInPandas(add, "block int, counts binary").collect()}
     n = int(found.pop(-1)[0]) if found else 0
@@ -222,7 +222,7 @@ def _features(docs: DataFrame, classes: list[str], settings: Settings) -> DataFr
                     [batch.column(2), pa.array([number[x] for x in batch.column(1).to_pylist()], pa.int32()),
                      pa.array(index, pa.binary()), pa.array(share, pa.binary())], names=["part", "label", "index", "share"])
 
-    return docs.select("text", "lang", "part").mapInArrow(rows, "part int, label int, index binary, share binary")
+    return docs.select("text", "lang", "part").mapInArrow(returning_memory(rows), "part int, label int, index binary, share binary")
 
 
 def _weights(z: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
@@ -354,4 +354,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: dict[s
                 names=[*batch.schema.names[1:], "lang_pred", "score"])
 
     schema = base.drop("text").schema.add("lang_pred", "string").add("score", "double")
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(returning_memory(run), schema)

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.llm.frames import written
-from sigspark.llm.text import column_buffer, lower_ascii, mix64, slices, span_hashes, word_spans
+from sigspark.llm.text import column_buffer, lower_ascii, mix64, returning_memory, slices, span_hashes, word_spans
 
 
 @dataclass(frozen=True)
@@ -149,7 +149,7 @@ def inverse_frequencies(docs: DataFrame, settings: Settings) -> np.ndarray:
         total = sum(np.frombuffer(unzip.decompress(x), np.int64) for x in pdf["counts"])
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [total.astype("<i8").tobytes()]})
 
-    blocks = docs.select("text").mapInArrow(count, "block int, counts binary")
+    blocks = docs.select("text").mapInArrow(returning_memory(count), "block int, counts binary")
     found = {r[0]: np.frombuffer(r[1], "<i8") for r in blocks.groupBy("block").applyInPandas(add, "block int, counts binary").collect()}
     n = int(found.pop(-1)[0]) if found else 0
     df = np.concatenate([found[k] for k in sorted(found)]) if found else np.zeros(size, np.int64)
@@ -248,7 +248,7 @@ def memberships(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text"
                 _, _, names = shingles(batch.column(1), settings.shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary())], names=["doc", "node"])
 
-    return docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(name, f"doc {kind}, node binary")
+    return docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(returning_memory(name), f"doc {kind}, node binary")
 
 
 def _first_copies(batches: Iterator[pa.RecordBatch], settings: Settings, piece: int = 1 << 20):
@@ -287,7 +287,7 @@ def candidate_buckets(docs: DataFrame, weights: np.ndarray, settings: Settings)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(buckets.ravel().view(np.int64)), pa.array(names, pa.binary()).take(node)], names=["bucket", "node"])
 
-    bands = written(docs.select("text").mapInArrow(band, "bucket long, node binary").distinct(), "bands")
+    bands = written(docs.select("text").mapInArrow(returning_memory(band), "bucket long, node binary").distinct(), "bands")
     sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     return bands.join(sizes, "bucket")
 
@@ -312,7 +312,7 @@ def _node_filter(nodes: DataFrame, bits: int) -> np.ndarray:
         on = np.bitwise_or.reduce([np.frombuffer(unzip.decompress(x), np.uint8) for x in pdf["bits"]])
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [zstandard.ZstdCompressor(level=1).compress(on.tobytes())]})
 
-    parts = nodes.select("node").mapInArrow(mark, "block int, bits binary").groupBy("block").applyInPandas(merge, "block int, bits binary")
+    parts = nodes.select("node").mapInArrow(returning_memory(mark), "block int, bits binary").groupBy("block").applyInPandas(merge, "block int, bits binary")
     out = np.zeros(size // 8, np.uint8)
     for start, data in parts.collect():
         block = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
@@ -338,7 +338,7 @@ def _candidate_features(docs: DataFrame, nodes: DataFrame, settings: Settings) -
                 [pa.array([names[r] for r in keep], pa.binary()),
                  pa.array([raw[4 * off[r]: 4 * off[r + 1]] for r in keep], pa.binary())], names=["node", "shingles"])
 
-    found = docs.select("text").mapInArrow(features, "node binary, shingles binary")
+    found = docs.select("text").mapInArrow(returning_memory(features), "node binary, shingles binary")
     # copies from several tasks: one stays
     return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
@@ -363,7 +363,7 @@ def verified(pairs: DataFrame, features: DataFrame, weights: np.ndarray, setting
 
     left = features.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = features.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary, linked boolean")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(returning_memory(compare), "a binary, b binary, linked boolean")
 
 
 def _tokens(content: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -479,7 +479,7 @@ def links(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         more = written(
             dealt.join(features, "node").select("bucket", "mine", "other", "node", "label", "shingles", "asks")
             .repartition("bucket", "mine", "other").sortWithinPartitions("bucket", "mine", "other")
-            .mapInArrow(_alike(settings, shared), "a binary, b binary, label_a binary, label_b binary").distinct(), "more-links")
+            .mapInArrow(returning_memory(_alike(settings, shared)), "a binary, b binary, label_a binary, label_b binary").distinct(), "more-links")
         found = found.unionByName(more.select("a", "b"))
         joined = components(more.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).select(
             F.col("node").alias("label"), F.col("label").alias("after"))
@@ -566,7 +566,7 @@ def keep_first(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
                 _, _, names = shingles(batch.column(0), settings.shingle)
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.binary())], names=[*batch.schema.names[1:], "node"])
 
-    marked = base.mapInArrow(name, base.drop("text").schema.add("node", "binary"))
+    marked = base.mapInArrow(returning_memory(name), base.drop("text").schema.add("node", "binary"))
     firsts = (marked.join(table, "node", "left")
               .filter(F.col("node").isNull() | F.col(place[doc_col]).eqNullSafe(F.col("class_id"))))
     once = firsts.filter(F.col("node").isNull() | (F.col("n_first") == 1))

@@ -6,7 +6,7 @@ of per-row Python.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,3 +142,29 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     step[0] = starts[0]
     step[heads[1:]] = starts[1:] - (starts[:-1] + lengths[:-1] - 1)
     return np.cumsum(step)
+
+
+def release_memory() -> None:
+    """Hands memory that this process has freed back to the system.
+
+    Python workers live on from stage to stage; what their allocators keep counts against the executor while the
+    next stage's workers need it.
+    """
+    import ctypes
+    import gc
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):                            # another C library than glibc
+        pass
+
+
+def returning_memory(run: Callable) -> Callable:
+    """The generator function of a task, which releases memory when it has ended."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+    return wrapped
