@@ -135,12 +135,17 @@ def _scalar_or_dict_labels(v: Column) -> Column:
 def normalize_labels(v: Column) -> Column:
     """``prj_normalize_labels``: scalar -> [str]; object -> true keys / k=v for non-zero
     numbers / keys with non-empty values; arrays flattened to ``LIST_LEVELS`` levels, empties
-    dropped. A list nested deeper raises rather than losing its labels."""
+    dropped. A list nested deeper gives NULL as a whole (``labels_too_deep`` tells it from a missing value), so that
+    one odd record neither ends the job nor loses some of its labels unseen."""
     def labels(e, levels):
         if not levels:
-            deep = F.raise_error(F.lit(f"label list nested deeper than {LIST_LEVELS} levels")).cast("array<string>")
-            return F.when(vtype(e) == "ARRAY", deep).otherwise(_scalar_or_dict_labels(e))
+            return F.when(vtype(e) != "ARRAY", _scalar_or_dict_labels(e))        # NULL; so is what it is flattened into
         inner = F.flatten(F.transform(as_array(e), lambda x: labels(x, levels - 1)))
         return F.when(vtype(e) == "ARRAY", inner).otherwise(_scalar_or_dict_labels(e))
 
     return F.when(vtype(v) == "ARRAY", F.filter(labels(v, LIST_LEVELS), lambda x: x != "")).otherwise(_scalar_or_dict_labels(v))
+
+
+def labels_too_deep(v: Column) -> Column:
+    """True for a label list nested deeper than ``LIST_LEVELS``: count these beside the labels."""
+    return F.coalesce(vtype(v) == "ARRAY", F.lit(False)) & normalize_labels(v).isNull()

@@ -446,3 +446,5 @@ def block_dim(blocks: list[str] | None = None) -> int:
 
 
 CATEGORICAL_FEATURES = [2, 3, 4, 5, 6, 701, 702]
+#: Values of those slots: the image flag, four bytes, and places in the two vocabularies.
+CATEGORICAL_VALUES = dict(zip(CATEGORICAL_FEATURES, [2, 256, 256, 256, 256, len(MACHINE_TYPES), len(SUBSYSTEM_TYPES)]))

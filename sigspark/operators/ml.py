@@ -55,6 +55,38 @@ def with_vector(df: DataFrame, features: str = "features", out: str = "fv") -> D
     return df.withColumn(out, array_to_vector(F.col(features)))
 
 
+def categorical_slots(width: int, slots: dict[int, int], names: dict[int, str] | None = None) -> dict:
+    """Metadata of a vector column (``ft_categorical_meta``): ``slots`` (place -> number of values) hold categories
+    0, 1, ..., the others numbers. Tree learners then split those slots by sets of values."""
+    named = lambda i: {"idx": i, "name": (names or {}).get(i, f"f{i}")}
+    at = {i: n for i, n in slots.items() if i < width}
+    return {"ml_attr": {"attrs": {"nominal": [{**named(i), "num_vals": n} for i, n in sorted(at.items())],
+                                  "numeric": [named(i) for i in range(width) if i not in at]}, "num_attrs": width}}
+
+
+def with_categorical_vector(df: DataFrame, width: int, slots: dict[int, int], features: str = "features", out: str = "fv",
+                            names: dict[int, str] | None = None) -> DataFrame:
+    """Adds the vector with its metadata. A value that is no category of its slot (not whole, below 0 or too great) becomes
+    the last one, so tree learners accept every row."""
+    at = {i: n for i, n in slots.items() if i < width}
+    table = F.create_map(*[F.lit(x) for i, n in at.items() for x in (i, n)]) if at else None
+
+    def fitted(x, i):
+        n = F.try_element_at(table, i)
+        whole = (x >= 0) & (x < n) & (x == F.floor(x))
+        return F.when(n.isNull() | whole, x.cast("double")).otherwise((n - 1).cast("double"))
+
+    values = F.transform(features, fitted) if at else F.col(features).cast("array<double>")
+    return df.withColumn(out, array_to_vector(values)).withMetadata(out, categorical_slots(width, slots, names))
+
+
+def read_slots(df: DataFrame, column: str = "fv") -> DataFrame:
+    """(slot, name, n_values) of a vector column's categories, from its metadata."""
+    attrs = df.schema[column].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])
+    rows = [(int(a["idx"]), a.get("name"), int(a["num_vals"])) for a in attrs]
+    return df.sparkSession.createDataFrame(rows, "slot int, name string, n_values int")
+
+
 def _estimator(model_type: str, problem_type: str, n_features: int, n_classes: int, params: dict,
                weighted: bool, n_rows: int = 0):
     p = dict(params or {})

@@ -89,7 +89,23 @@ def q_ml_passive_aggressive(spark, sf):
     return ml.evaluate(model, rows.where(F.col("is_val")).drop("is_val"))
 
 
+def q_ft_categorical_meta(spark, sf):
+    """The categorical slots as a tree learner reads them: vectors of the prepared table with their metadata, a fitted tree,
+    and for each slot the values that the table holds."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    from ..functions import pe
+    p = _prepared(spark, sf)
+    rows, _ = pr.read_vectors(spark, p, "train")
+    d = ml.with_categorical_vector(rows.where("y >= 0").withColumn("label", F.col("y").cast("double")), p.width, pe.CATEGORICAL_VALUES)
+    tree = DecisionTreeClassifier(featuresCol="fv", labelCol="label", maxDepth=3, maxBins=256).fit(d)
+    found = ml.read_slots(d).withColumn("n_features", F.lit(tree.numFeatures))
+    held = d.select(F.posexplode("features").alias("slot", "value")).groupBy("slot").agg(F.countDistinct("value").alias("n_held"))
+    return found.join(held, "slot").select("slot", "n_values", "n_held", "n_features")
+
+
 QUERIES = {
+    "ft_categorical_meta": q_ft_categorical_meta,
     "prepare_vectors": q_prepare_vectors,
     "prepare_read": q_prepare_read,
     "csc_fitted_predict": q_csc_fitted_predict,
@@ -112,6 +128,10 @@ r AS (SELECT v.*, coalesce(m.id, -1) AS y_fam FROM v LEFT JOIN m ON v.family = m
 """
 
 ORACLE = {
+    "ft_categorical_meta": ROWS + """
+SELECT slot, CASE WHEN slot = 2 THEN 2 ELSE 256 END AS n_values, CASE WHEN slot = 2 THEN (SELECT count(DISTINCT is_pe) FROM r WHERE subset = 'train' AND y_bin >= 0) ELSE 1 END AS n_held,
+       7 AS n_features
+FROM (SELECT unnest([2, 3, 4, 5, 6]) AS slot)""",
     "prepare_vectors": ROWS + """
 SELECT subset, count(*) AS n, count(DISTINCT sha256) AS n_files, 7 AS width, count_if(y_bin = 1) AS n_malware, count_if(y_bin = -1) AS n_unlabelled,
        count_if(y_fam >= 0) AS n_family, CAST(sum(y_fam) AS BIGINT) AS sum_family, sum(size) AS sum_size, round(sum(entropy), 4) AS sum_entropy,

@@ -100,3 +100,16 @@ def test_cascade_without_families(spark, rows):
     benign = rows.withColumn("y_fam", F.lit(-1))
     cascade = fc.fit_cascade(benign, ("logreg", {"maxIter": 10}), ("passive_aggressive", {}))
     assert cascade.layer2 is None and fc.predict(cascade, rows).where("family_id is not null").count() == 0
+
+
+def test_categorical_slots_reach_a_tree(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+    odd = {1, 4, 6}
+    data = [([float(i % 8), float(i % 5)], float(i % 8 in odd)) for i in range(400)]
+    d = ml.with_categorical_vector(spark.createDataFrame(data, "features array<double>, label double"), 2, {0: 8, 701: 36}, names={0: "byte"})
+    assert [tuple(r) for r in ml.read_slots(d).collect()] == [(0, "byte", 8)]
+    tree = DecisionTreeClassifier(featuresCol="fv", maxDepth=1, maxBins=8).fit(d)
+    assert "in {1.0,4.0,6.0}" in tree.toDebugString or "in {0.0,2.0,3.0,5.0,7.0}" in tree.toDebugString
+    assert tree.transform(d).where("prediction != label").count() == 0                        # one split of a set, no order needed
+    wrong = ml.with_categorical_vector(spark.createDataFrame([([9.0, 1.0],), ([-1.0, 1.0],), ([1.5, 1.0],)], "features array<double>"), 2, {0: 8})
+    assert {r.fv[0] for r in wrong.collect()} == {7.0}

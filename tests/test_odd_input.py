@@ -41,8 +41,9 @@ def test_values(spark):
     assert (labels(spark, "1e30").s, labels(spark, "1e30").l) == ("float", ["1e+30"])
     assert labels(spark, "0.875").l == ["0.875"]
     assert labels(spark, "123456789012345678901234").s == "int"
-    with pytest.raises(Exception, match="nested deeper"):
-        labels(spark, "[" * 9 + '"x"' + "]" * 9)
+    assert labels(spark, "[" * 9 + '"x"' + "]" * 9).l is None and labels(spark, '["a", ' + "[" * 8 + "]" * 9).l is None
+    deep = spark.createDataFrame([("[" * 9 + '"x"' + "]" * 9,), ('["a"]',), ("null",), ('"a"',), (None,)], "t string")
+    assert [r[0] for r in deep.select(jv.labels_too_deep(F.try_parse_json("t"))).collect()] == [True, False, False, False, False]
 
 
 @pytest.mark.parametrize("text, hits, total", [('"5f/70d"', None, None), ('"5/70"', 5.0, 70.0), ('"3e1/70"', 30.0, 70.0), ('" 7 "', 7.0, None), ("4", 4.0, None)])

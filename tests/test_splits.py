@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -47,3 +49,15 @@ def test_label_map_tie_break_and_filters(spark):
     df = spark.createDataFrame(rows, "family string")
     m = {r["label"]: r["id"] for r in lb.build_label_map(df, "family", 10).collect()}
     assert m == {"a": 0, "b": 1}
+
+
+def test_stratified_sample_is_exact_with_repeated_keys(spark):
+    rows = [(i % 17, None if i % 4 == 3 else i % 4, i // 60) for i in range(200)]              # few keys, a null class, equal rows
+    df = spark.createDataFrame(rows, "id int, y int, z int").repartition(3)
+    for size in (1, 30, 57, 199):
+        s = [tuple(r) for r in sp.stratified_sample(df, "y", "id", size, seed=2).collect()]
+        assert len(s) == size and not Counter(s) - Counter(rows)
+    again = [sorted(map(str, sp.stratified_sample(df.repartition(n), "y", "id", 30, seed=2).collect())) for n in (1, 5)]
+    assert again[0] == again[1]
+    one = spark.createDataFrame([(1, 0)] * 50, "id int, y int")
+    assert sp.stratified_sample(one, "y", "id", 20).count() == 20
