@@ -16,6 +16,7 @@ import os
 import time
 import uuid
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -326,6 +327,32 @@ def tune_grid(df: DataFrame, order_cols: list[str], grid: list[dict], model_type
     return df.sparkSession.createDataFrame(rows, "grid_id int, params string, fold int, partial_auc double")
 
 
+def tune_and_refit(df: DataFrame, order_cols: list[str], grid: list[dict], model_type: str = "gbt", n_splits: int = 3,
+                   y: str = "y", key: str = "sha256", features: str = "features", parallelism: int = 4) -> tuple[DataFrame, TrainedModel]:
+    """``ml_tune_grid`` as one job: (fold scores of every grid point with their mean and the best one marked, the model
+    refitted with the best parameters on all rows).
+
+    The folds are written once. Up to ``parallelism`` fits run at a time, each from a thread of its own, so that the
+    cluster is not idle in the narrow ends of one fit; scores do not depend on it. Ties go to the first grid point.
+    """
+    folds = materialise(sp.time_series_folds(df, order_cols, n_splits), "tuning-folds")
+
+    def one(job):
+        point, fold = job
+        train, test = (folds.where((F.col("fold") == fold) & (F.col("role") == role)) for role in ("train", "test"))
+        model = train_classifier(train, model_type, grid[point], "binary", validation_size=0.0, y=y, key=key, features=features)
+        scored = scores_of(model, test, features).select(F.col(y).alias("y"), "score")
+        return point, fold, float(mt.binary_curve_metrics(scored).first()["partial_auc"])
+
+    with ThreadPool(max(1, parallelism)) as pool:
+        found = pool.map(one, [(g, f) for g in range(len(grid)) for f in range(n_splits)], chunksize=1)
+    mean = {g: sum(s for p, _, s in found if p == g) / n_splits for g in range(len(grid))}
+    best = max(mean, key=lambda g: (mean[g], -g))
+    rows = [(g, json.dumps(grid[g], sort_keys=True), f, s, mean[g], g == best) for g, f, s in sorted(found)]
+    table = df.sparkSession.createDataFrame(rows, "grid_id int, params string, fold int, partial_auc double, mean_partial_auc double, best boolean")
+    return table, train_classifier(df, model_type, grid[best], "binary", validation_size=0.1, y=y, key=key, features=features)
+
+
 def benchmark(train: DataFrame, test: DataFrame, specs: list[tuple[str, dict]], y: str = "y",
               key: str = "sha256", features: str = "features") -> DataFrame:
     """``ml_benchmark``: fit + evaluate each (model_type, params); one row per model

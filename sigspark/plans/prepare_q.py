@@ -13,7 +13,9 @@ from ..operators import fitted_cascade as fc
 from ..operators import labels as lb
 from ..operators import ml
 from ..operators import prepare as pr
+from ..operators.audit import split_from_path
 from ..session import scratch_path
+from ..sources import corpus as cp
 from ..sources import standins
 from .ml_q import emb
 
@@ -97,14 +99,37 @@ def q_ft_categorical_meta(spark, sf):
     from ..functions import pe
     p = _prepared(spark, sf)
     rows, _ = pr.read_vectors(spark, p, "train")
-    d = ml.with_categorical_vector(rows.where("y >= 0").withColumn("label", F.col("y").cast("double")), p.width, pe.CATEGORICAL_VALUES)
-    tree = DecisionTreeClassifier(featuresCol="fv", labelCol="label", maxDepth=3, maxBins=256).fit(d)
+    known = rows.where("y >= 0").withColumn("label", F.col("y").cast("double"))
+    d = ml.with_categorical_vector(known, p.width, pe.CATEGORICAL_VALUES)
+    # the learner takes no more values of a category than it has rows
+    n = known.count()
+    fit = ml.with_categorical_vector(known, p.width, {i: v for i, v in pe.CATEGORICAL_VALUES.items() if v <= n})
+    tree = DecisionTreeClassifier(featuresCol="fv", labelCol="label", maxDepth=3, maxBins=256).fit(fit)
     found = ml.read_slots(d).withColumn("n_features", F.lit(tree.numFeatures))
     held = d.select(F.posexplode("features").alias("slot", "value")).groupBy("slot").agg(F.countDistinct("value").alias("n_held"))
     return found.join(held, "slot").select("slot", "n_values", "n_held", "n_features")
 
 
+def q_src_corpus_folder(spark, sf):
+    """A folder of files read as they are (``binaryFile``): sizes from the listing against the bytes read, by split."""
+    folder = standins.landed_lines(spark, sf)
+    ok, errors = cp.scan_folder(spark, folder, extensions=(".txt",), max_file_size_mb=512)
+    files = ok.select(split_from_path(F.col("path")).alias("split"), "length", F.length("content").alias("n"), F.lit(0).alias("e"))
+    bad = errors.select(split_from_path(F.col("path")).alias("split"), F.col("size").alias("length"), F.lit(0).alias("n"), F.lit(1).alias("e"))
+    return files.unionByName(bad).groupBy("split").agg(F.sum("length").alias("n_listed"), F.sum("n").alias("n_read"), F.sum("e").alias("n_errors"))
+
+
+def q_ml_tune_boosted(spark, sf):
+    """Boosted-tree grid over expanding folds: fold scores, the best point marked, and its refitted model's threshold."""
+    rows = emb(spark, sf).withColumn("y", F.col("y_bin")).drop("is_val")
+    grid = [{"maxIter": i, "maxDepth": d} for i in (3, 6) for d in (2, 3)]
+    table, model = ml.tune_and_refit(rows, ["vec_id"], grid, "gbt", 3)
+    return table.withColumn("threshold", F.when(F.col("best"), F.lit(model.threshold)))
+
+
 QUERIES = {
+    "src_corpus_folder": q_src_corpus_folder,
+    "ml_tune_boosted": q_ml_tune_boosted,
     "ft_categorical_meta": q_ft_categorical_meta,
     "prepare_vectors": q_prepare_vectors,
     "prepare_read": q_prepare_read,
@@ -128,6 +153,10 @@ r AS (SELECT v.*, coalesce(m.id, -1) AS y_fam FROM v LEFT JOIN m ON v.family = m
 """
 
 ORACLE = {
+    "src_corpus_folder": f"""
+WITH lines AS ({standins.record_sql("duckdb")})
+SELECT split, CAST(sum(octet_length(encode(value)) + 1) AS BIGINT) AS n_listed, CAST(sum(octet_length(encode(value)) + 1) AS BIGINT) AS n_read, 0 AS n_errors
+FROM lines GROUP BY split""",
     "ft_categorical_meta": ROWS + """
 SELECT slot, CASE WHEN slot = 2 THEN 2 ELSE 256 END AS n_values, CASE WHEN slot = 2 THEN (SELECT count(DISTINCT is_pe) FROM r WHERE subset = 'train' AND y_bin >= 0) ELSE 1 END AS n_held,
        7 AS n_features

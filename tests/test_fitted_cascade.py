@@ -113,3 +113,14 @@ def test_categorical_slots_reach_a_tree(spark):
     assert tree.transform(d).where("prediction != label").count() == 0                        # one split of a set, no order needed
     wrong = ml.with_categorical_vector(spark.createDataFrame([([9.0, 1.0],), ([-1.0, 1.0],), ([1.5, 1.0],)], "features array<double>"), 2, {0: 8})
     assert {r.fv[0] for r in wrong.collect()} == {7.0}
+
+
+def test_tuning_in_threads_equals_a_serial_run(spark, rows):
+    data = rows.withColumn("y", F.col("y_bin")).withColumn("at", F.col("sha256").cast("int"))
+    grid = [{"maxIter": 5, "regParam": r} for r in (0.5, 0.001)]
+    table, model = ml.tune_and_refit(data, ["at"], grid, "logreg", 2, parallelism=3)
+    got = {(r.grid_id, r.fold): r.partial_auc for r in table.collect()}
+    serial = {(r.grid_id, r.fold): r.partial_auc for r in ml.tune_grid(data, ["at"], grid, "logreg", 2).collect()}
+    assert got == pytest.approx(serial)
+    best = {r.grid_id for r in table.collect() if r.best}
+    assert len(best) == 1 and model.params == grid[best.pop()] and model.validation_f1 is not None
