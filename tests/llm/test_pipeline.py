@@ -76,4 +76,4 @@ def test_run_and_empty_table(spark, corpus, tmp_path):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names
-    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 14)]
