@@ -6,7 +6,8 @@ shuffle) and lookups against the resulting small map.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,36 +75,39 @@ def multihot(df: DataFrame, key: str, labels_col: str, label_map: DataFrame, k:
     """``prj_multihot``: K-wide 0/1 array per row (null or unknown labels -> zeros).
 
     The map is computed once. It has K entries, as many as the array of every single
-    output row, so it is shipped to the tasks as a dictionary and rows are not shuffled.
+    output row, so it is shipped to the tasks as a list and rows are not shuffled. Tasks
+    look the ids up in Arrow batches; the K-wide arrays are made row by row in the JVM, so
+    no batch ever holds rows x K cells.
     """
-    ids = {r["label"]: int(r["id"]) for r in label_map.select("label", "id").collect()}
-    width = k if k is not None else max(ids.values(), default=-1) + 1
-    shared = df.sparkSession.sparkContext.broadcast(ids)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def dense(labels: pd.Series) -> pd.Series:
-        lookup = shared.value
-        grid = np.zeros((len(labels), width), dtype=np.int32)
-        for r, values in enumerate(labels):
-            if values is not None:
-                at = [i for v in set(values) if (i := lookup.get(v)) is not None]
-                grid[r, at] = 1
-        return pd.Series(list(grid))
-
-    return df.withColumn(out, dense(F.col(labels_col)))
+    rows = [(r["label"], int(r["id"])) for r in label_map.select("label", "id").collect()]
+    width = k if k is not None else max((i for _, i in rows), default=-1) + 1
+    shared = df.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.int64)))
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def known_ids(labels: pa.Array) -> pa.Array:
+        names, ids = shared.value
+        values, counts = labels.flatten(), pc.fill_null(pc.list_value_length(labels), 0).to_numpy(zero_copy_only=False)
+        at = pc.index_in(values, value_set=pa.array(names, type=values.type))
+        hit = at.is_valid().to_numpy(zero_copy_only=False)
+        found = ids[at.drop_null().to_numpy(zero_copy_only=False)]
+        if len(found) and found.max() >= width:
+            raise IndexError(f"label id {found.max()} is out of bounds for width {width}")
+        row = np.repeat(np.arange(len(labels), dtype=np.int64), counts)[hit]
+        cells = np.unique(row * width + found)                  # each id of a row once, ascending
+        offsets = np.searchsorted(cells, np.arange(len(labels) + 1, dtype=np.int64) * width)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cells % max(width, 1), pa.int32()))
+
+    with_ids = df.withColumn("__ids", known_ids(F.col(labels_col)))
+    return with_ids.withColumn(out, dense_from_ids(F.col("__ids"), width)).drop("__ids")
 
 
 def dense_from_ids(ids: Column, k: int) -> Column:
-    """K-wide 0/1 array from a list of ids (Arrow UDF: one numpy scatter per
-    batch instead of K array_contains calls per row)."""
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _dense(s: pd.Series) -> pd.Series:
-        out = np.zeros((len(s), k), dtype=np.int32)
-        for r, v in enumerate(s):
-            if v is not None and len(v):
-                out[r, np.asarray(v, dtype=np.int64)] = 1
-        return pd.Series(list(out))
-    return _dense(ids)
+    """K-wide 0/1 array from a list of ids, as runs of zeros that each end in a one."""
+    s = F.sort_array(F.array_distinct(F.coalesce(ids, F.array().cast("array<int>"))))
+    before = F.slice(F.concat(F.array(F.lit(-1)), s), 1, F.size(s))
+    runs = F.zip_with(s, before, lambda i, p: F.concat(F.array_repeat(F.lit(0), i - p - 1), F.array(F.lit(1))))
+    rest = F.array_repeat(F.lit(0), F.lit(k - 1) - F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(-1)))
+    return F.flatten(F.concat(runs, F.array(rest)))
 
 
 def filter_ignored(df: DataFrame, col: str, ignore: list[str] = IGNORE_TAGS) -> DataFrame:
