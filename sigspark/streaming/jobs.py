@@ -26,12 +26,13 @@ BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, co
 
 
 def read_stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """One driver table as a file stream (schema taken from the batch reader)."""
+    """One driver table, a file or a folder of files, as a file stream (schema taken from the batch reader)."""
     schema = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")).schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(sf_dir)
+    # as a pattern: a plain path would have to be a folder
+    return r.parquet(os.path.join(sf_dir, f"{{{name}}}.parquet"))
 
 
 def week_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", watermark: str = "7 days") -> DataFrame:
@@ -59,7 +60,10 @@ def drain(spark: SparkSession, df: DataFrame, keys: list[str], value: str = "n")
     out = scratch_path(spark, f"stream-out-{run}")
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], "batch_id long"])
 
+    kept = []
+
     def keep(batch: DataFrame, batch_id: int) -> None:
+        kept.append(batch_id)
         batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     q = (df.writeStream.outputMode("update").foreachBatch(keep)
@@ -68,7 +72,7 @@ def drain(spark: SparkSession, df: DataFrame, keys: list[str], value: str = "n")
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    if q.lastProgress is None:
+    if not kept:                                   # no file or no row came
         return spark.createDataFrame([], schema).drop("batch_id")
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
     return rows.groupBy(*keys).agg(F.max_by(value, "batch_id").alias(value)).select(*df.columns)
