@@ -64,11 +64,11 @@ def vectorize_bytes_and_record(spark: SparkSession, sf: str, mode: str = "murmur
     text and ``RAW_SCHEMA`` (the path of a real JSONL corpus); building the
     struct inline would let the optimizer re-inline the text transforms into
     every one of the ~1900 slot expressions."""
-    from ..sources.pe_standin import raw_struct
+    from ..sources.pe_standin import raw_struct, with_parts
     from ..sources.tables import table
     d = table(spark, sf, "documents")
-    d = d.select("doc_id", "source", "lang", F.encode("text", "UTF-8").alias("content"),
-                 F.to_json(raw_struct(d)).alias("pe_json"))
+    d = with_parts(d).select("doc_id", "source", "lang", F.encode("text", "UTF-8").alias("content"),
+                             F.to_json(raw_struct()).alias("pe_json"))
     d = add_raw_from_bytes(d, "content", "b").withColumn("r", pe.parse_raw(F.col("pe_json")))
     b, r = F.col("b"), F.col("r")
     merged = F.struct(b["general"].alias("general"), b["histogram"].alias("histogram"),

@@ -23,20 +23,25 @@ def _sums(v: Column):
     return F.round(s1, 3).alias("s1"), F.round(s2, 3).alias("s2")
 
 
+def _vec_sums(r, v: Column):
+    """(doc_id, s1, s2) of a vector that is made once: as a column it is not evaluated again for each sum."""
+    return r.select("doc_id", v.alias("v")).select("doc_id", *_sums(F.col("v")))
+
+
 def _recs(spark, sf):
     return ps.pe_records(spark, sf)
 
 
 def q_ft_header_vec(spark, sf):
-    return _recs(spark, sf).select("doc_id", *_sums(pe.header_vec(F.col("raw.header"))))
+    return _vec_sums(_recs(spark, sf), pe.header_vec(F.col("raw.header")))
 
 
 def q_ft_datadirs_vec(spark, sf):
-    return _recs(spark, sf).select("doc_id", *_sums(pe.datadirectories_vec(F.col("raw.datadirectories"))))
+    return _vec_sums(_recs(spark, sf), pe.datadirectories_vec(F.col("raw.datadirectories")))
 
 
 def q_ft_authenticode_vec(spark, sf):
-    return _recs(spark, sf).select("doc_id", *_sums(pe.authenticode_vec(F.col("raw.authenticode"))))
+    return _vec_sums(_recs(spark, sf), pe.authenticode_vec(F.col("raw.authenticode")))
 
 
 def q_ft_warning_normalize(spark, sf):
@@ -44,19 +49,22 @@ def q_ft_warning_normalize(spark, sf):
 
 
 def q_ft_warning_vec(spark, sf):
-    return _recs(spark, sf).select("doc_id", *_sums(pe.warnings_vec(F.col("raw.pefilewarnings"))))
+    return _vec_sums(_recs(spark, sf), pe.warnings_vec(F.col("raw.pefilewarnings")))
 
 
 def q_ft_exports_vec(spark, sf):
-    return _recs(spark, sf).select("doc_id", *_sums(pe.exports_vec(F.col("raw.exports"), mode="md5")))
+    return _vec_sums(_recs(spark, sf), pe.exports_vec(F.col("raw.exports"), mode="md5"))
 
 
 def q_ft_section_stats(spark, sf):
     st = pe.section_stats(F.col("raw.section"))
-    r = _recs(spark, sf).where(F.col("raw.section").isNotNull())
     names = ["n_sections", "n_zero_size", "n_empty_name", "n_rx", "n_w", "max_entropy", "min_entropy",
              "max_size_ratio", "min_size_ratio", "max_vsize_ratio", "min_vsize_ratio"]
-    return r.select("doc_id", *[F.round(st[i].cast("double"), 4).alias(n) for i, n in enumerate(names)])
+    # the row number keeps the filter above the parsed record: pushed below it, it would parse every record twice
+    r = (_recs(spark, sf).select("doc_id", F.col("raw.section").isNotNull().alias("has"), st.alias("st"), F.monotonically_increasing_id().alias("at"))
+         .where(F.col("has") & (F.col("at") >= 0)))
+    return r.select(
+        "doc_id", *[F.round(F.col("st")[i].cast("double"), 4).alias(n) for i, n in enumerate(names)])
 
 
 def q_ft_zero_block(spark, sf):
@@ -215,7 +223,7 @@ def q_ft_imports_vec(spark, sf):
 
 
 def q_ft_rich_vec(spark, sf):
-    return _recs(spark, sf).select("doc_id", *_sums(pe.richheader_vec(F.col("raw.richheader"), mode="md5")))
+    return _vec_sums(_recs(spark, sf), pe.richheader_vec(F.col("raw.richheader"), mode="md5"))
 
 
 def q_ft_section_hash(spark, sf):

@@ -41,7 +41,21 @@ def sentences(text: Column) -> Column:
     return F.split(text, "[.]")
 
 
-def raw_struct(d: DataFrame) -> Column:
+#: Parts of the alphabet.
+ALPHABET = [("a", "b"), ("c", "e"), ("f", "k"), ("l", "o"), ("p", "s"), ("t", "z")]
+#: Columns of the split texts, made once: an expression would be split again wherever it is read.
+WORDS, SENTENCES, HEADS, LETTERS = "__words", "__sentences", "__heads", "__letters"
+
+
+def with_parts(d: DataFrame) -> DataFrame:
+    """The documents with their words, words with first letters, and sentences as columns."""
+    split = d.withColumn(WORDS, words(F.col("text"))).withColumn(SENTENCES, sentences(F.col("text")))
+    heads = split.withColumn(HEADS, F.transform(WORDS, lambda w: F.struct(F.substring(w, 1, 1).alias("l"), w.alias("w"))))
+    return heads.withColumn(LETTERS, F.sort_array(F.array_distinct(F.col(HEADS)["l"])))
+
+
+def raw_struct() -> Column:
+    """The record as a struct over the columns of ``with_parts``."""
     doc, n, text = F.col("doc_id"), F.col("n_chars"), F.col("text")
     coff = F.struct(n.alias("timestamp"), _pick(doc % 4, MACHINE_BY_MOD4).alias("machine"),
                     (doc % 7 + 1).alias("number_of_sections"), F.lit(0).alias("number_of_symbols"),
@@ -56,7 +70,7 @@ def raw_struct(d: DataFrame) -> Column:
                     .alias("dll_characteristics"))
     dos = F.struct(*[(F.lit(23117) if m == "e_magic" else F.lit(128) if m == "e_lfanew" else (doc + j) % 13).alias(m)
                      for j, m in enumerate(pe.DOS_MEMBERS)])
-    sents = sentences(text)
+    sents = F.col(SENTENCES)
     secs = F.transform(sents, lambda s: F.struct(
         F.lower(F.trim(s)).alias("name"), F.length(s).alias("size"), ((F.length(s) % 80) / 10.0).alias("entropy"),
         (F.length(s) + 10).alias("vsize"), (F.length(s) / n).alias("size_ratio"),
@@ -65,11 +79,15 @@ def raw_struct(d: DataFrame) -> Column:
          .when(F.length(s) % 3 == 1, _str_array(["MEM_WRITE"])).otherwise(F.array().cast("array<string>")).alias("props")))
     section = F.struct(F.lower(F.trim(F.try_element_at(sents, F.lit(1)))).alias("entry"), secs.alias("sections"),
                        F.struct((n % 100).alias("size"), ((n % 100) / n).alias("size_ratio"), F.lit(1.5).alias("entropy")).alias("overlay"))
-    ws = words(text)
-    letters = F.array_sort(F.array_distinct(F.transform(ws, lambda w: F.substring(w, 1, 1))))
-    imports = F.map_from_entries(F.transform(letters, lambda l: F.struct(
+    ws = F.col(WORDS)
+    letters = F.col(LETTERS)
+    # words are dealt to parts of the alphabet first, so that a letter looks through those of its part only
+    parts = F.transform(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ALPHABET]), lambda p: F.struct(
+        F.filter(letters, lambda l: (l >= p["a"]) & (l <= p["b"])).alias("letters"),
+        F.filter(HEADS, lambda h: (h["l"] >= p["a"]) & (h["l"] <= p["b"])).alias("heads")))
+    imports = F.map_from_entries(F.flatten(F.transform(parts, lambda p: F.transform(p["letters"], lambda l: F.struct(
         F.when(l < "m", F.concat(F.upper(l), F.lit(".DLL"))).otherwise(F.concat(l, F.lit(".dll"))).alias("k"),
-        F.filter(ws, lambda w: F.substring(w, 1, 1) == l).alias("v"))))
+        F.transform(F.filter(p["heads"], lambda h: h["l"] == l), lambda h: h["w"]).alias("v"))))))
     exports = F.filter(ws, lambda w: F.length(w) >= 9)
     dd = F.concat(F.array(F.struct((doc % 2).alias("has_relocs"), F.lit(0).alias("has_dynamic_relocs"),
                                    F.lit(None).cast("string").alias("name"), F.lit(None).cast("bigint").alias("size"),
@@ -102,7 +120,7 @@ def raw_struct(d: DataFrame) -> Column:
 def pe_record_lines(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, value): one JSON line with the PE blocks per document."""
     d = table(spark, sf, "documents")
-    return d.select("doc_id", F.to_json(raw_struct(d)).alias("value"))
+    return with_parts(d).select("doc_id", F.to_json(raw_struct()).alias("value"))
 
 
 def pe_records(spark: SparkSession, sf: str) -> DataFrame:
