@@ -15,7 +15,7 @@ where an independent SQL engine has to recompute the vectors.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,21 +98,40 @@ def hash_rows(rows, n: int, signed: bool) -> np.ndarray:
     return out.astype(np.float32)
 
 
+#: Rows whose tokens are Python objects at one time; an Arrow batch may hold 10,000.
+PIECE_ROWS = 64
+
+
+def in_pieces(column: pa.Array, width: int, vectors) -> pa.ListArray:
+    """``vectors`` of ``PIECE_ROWS`` rows (as Python values) at a time -> ARRAY<FLOAT>(width) for each row."""
+    out = np.zeros((len(column), width), dtype=np.float32)
+    for i in range(0, len(column), PIECE_ROWS):
+        out[i:i + PIECE_ROWS] = vectors(list(column.slice(i, PIECE_ROWS).to_pandas()))
+    offsets = np.arange(len(column) + 1, dtype=np.int32) * np.int32(width)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+
+
+def _string_rows(values) -> list:
+    return [[(t, 1.0) for t in r if t is not None] if r is not None else [] for r in values]
+
+
+def _pair_rows(values) -> list:
+    return [[(p["k"], float(p["v"]) if p["v"] is not None else 0.0) for p in r] if r is not None else [] for r in values]
+
+
 def feature_hash_strings(tokens: Column, n: int, signed: bool = True) -> Column:
     """``fn_feature_hash`` over ARRAY<STRING> (each token weight 1) -> ARRAY<FLOAT>(n)."""
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def _h(s: pd.Series) -> pd.Series:
-        rows = [[(t, 1.0) for t in r if t is not None] if r is not None else [] for r in s]
-        return pd.Series(list(hash_rows(rows, n, signed)))
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def _h(s: pa.Array) -> pa.Array:
+        return in_pieces(s, n, lambda rows: hash_rows(_string_rows(rows), n, signed))
     return _h(tokens)
 
 
 def feature_hash_pairs(pairs: Column, n: int, signed: bool = True) -> Column:
     """``fn_feature_hash`` over ARRAY<STRUCT<k STRING, v DOUBLE>> -> ARRAY<FLOAT>(n)."""
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def _h(s: pd.Series) -> pd.Series:
-        rows = [[(p["k"], float(p["v"]) if p["v"] is not None else 0.0) for p in r] if r is not None else [] for r in s]
-        return pd.Series(list(hash_rows(rows, n, signed)))
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def _h(s: pa.Array) -> pa.Array:
+        return in_pieces(s, n, lambda rows: hash_rows(_pair_rows(rows), n, signed))
     return _h(pairs)
 
 
@@ -124,18 +143,29 @@ def md5_32(token: Column) -> Column:
     return F.when(u >= 2 ** 31, u - 2 ** 32).otherwise(u)
 
 
+#: Cells that are summed from one part of the tokens.
+GROUP = 8
+
+
 def feature_hash_sql(pairs: Column, n: int, signed: bool = True) -> Column:
     """Same bucket rule with ``md5_32`` instead of Murmur3, as one JVM expression.
 
-    O(tokens x n) per row: meant for SQL-checkable fixtures and narrow blocks,
-    not for the hot path (use the Arrow Murmur3 hashers there)."""
-    def cell(acc, p):
-        h = md5_32(p["k"])
-        idx = F.when(h == -2147483648, F.lit((2147483647 - (n - 1)) % n)).otherwise(F.abs(h) % n)
-        v = p["v"] * (F.when(h >= 0, 1.0).otherwise(-1.0) if signed else F.lit(1.0))
-        return F.transform(acc, lambda x, i: x + F.when(i == idx, v).otherwise(0.0))
-    zero = F.array_repeat(F.lit(0.0), n)
-    return F.transform(F.aggregate(pairs, zero, cell), lambda x: x.cast("float"))
+    Every token is hashed once, the tokens are dealt to groups of ``GROUP`` cells, and each cell sums those of its
+    group in their order. Lambda variables hold what is read more than once (an expression would be evaluated again)."""
+    def cell(p):
+        idx = F.when(p["h"] == -2147483648, F.lit((2147483647 - (n - 1)) % n)).otherwise(F.abs(p["h"]) % n).cast("int")
+        v = p["v"] * (F.when(p["h"] >= 0, 1.0).otherwise(-1.0) if signed else F.lit(1.0))
+        return F.struct(idx.alias("i"), v.alias("v"))
+
+    first = F.transform(pairs, lambda p: F.struct(F.conv(F.substring(F.md5(p["k"]), 1, 8), 16, 10).cast("bigint").alias("u"), p["v"].alias("v")))
+    hashed = F.transform(first, lambda p: F.struct(F.when(p["u"] >= 2 ** 31, p["u"] - 2 ** 32).otherwise(p["u"]).alias("h"), p["v"].alias("v")))
+    groups = F.transform(F.array(F.transform(hashed, cell)), lambda cells: F.when(cells.isNotNull(), F.transform(
+        F.sequence(F.lit(0), F.lit((n - 1) // GROUP)),
+        lambda g: F.struct((g * GROUP).alias("from"), F.filter(cells, lambda c: (c["i"] >= g * GROUP) & (c["i"] < (g + 1) * GROUP)).alias("of")))))
+    sums = F.transform(F.flatten(groups), lambda g: F.transform(
+        F.sequence(F.lit(0), F.lit(GROUP - 1)),
+        lambda j: F.aggregate(g["of"], F.lit(0.0), lambda a, c: a + F.when(c["i"] == g["from"] + j, c["v"]).otherwise(0.0)).cast("float")))
+    return F.slice(F.flatten(sums), 1, n)
 
 
 def string_pairs(tokens: Column) -> Column:
@@ -150,17 +180,15 @@ def feature_hash_many(specs: list[tuple[str, Column, int, bool]]) -> Column:
     batch instead of one per list)."""
     kinds = [(k, n, s) for k, _, n, s in specs]
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def _hm(frame: pd.DataFrame) -> pd.Series:
-        parts = []
-        for j, (kind, n, signed) in enumerate(kinds):
-            s = frame[f"t{j}"]
-            if kind == "pairs":
-                rows = [[(p["k"], float(p["v"]) if p["v"] is not None else 0.0) for p in r] if r is not None else [] for r in s]
-            else:
-                rows = [[(t, 1.0) for t in r if t is not None] if r is not None else [] for r in s]
-            parts.append(hash_rows(rows, n, signed))
-        return pd.Series(list(np.concatenate(parts, axis=1)))
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def _hm(frame: pa.Array) -> pa.Array:
+        def vectors(rows):
+            parts = []
+            for j, (kind, n, signed) in enumerate(kinds):
+                values = [r[f"t{j}"] for r in rows]
+                parts.append(hash_rows(_pair_rows(values) if kind == "pairs" else _string_rows(values), n, signed))
+            return np.concatenate(parts, axis=1)
+        return in_pieces(frame, sum(n for _, n, _ in kinds), vectors)
 
     # a single struct argument: the planner handles one lambda-built input per UDF
     return _hm(F.struct(*[t.alias(f"t{j}") for j, (_, t, _, _) in enumerate(specs)]))

@@ -8,7 +8,7 @@ JVM expression except the hashed blocks, which call the Arrow hasher.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -365,15 +365,18 @@ def _block_token_lists(block: str, v) -> list[list[tuple[str, float]]]:
 def pe_hash_udf(blocks: list[str]):
     """Arrow UDF: struct of raw blocks -> concatenated Murmur3 hashed vectors."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def _pe_hashes(frame: pd.DataFrame) -> pd.Series:
-        parts = []
-        for b in blocks:
-            col = frame[b]
-            lists = [_block_token_lists(b, x) for x in col]
-            for j, (n, signed) in enumerate(zip(HASH_WIDTHS[b], HASH_SIGNED[b])):
-                parts.append(hs.hash_rows([ls[j] for ls in lists], n, signed))
-        return pd.Series(list(np.concatenate(parts, axis=1)))
+    width = sum(sum(HASH_WIDTHS[b]) for b in blocks)
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def _pe_hashes(frame: pa.Array) -> pa.Array:
+        def vectors(rows):
+            parts = []
+            for b in blocks:
+                lists = [_block_token_lists(b, r[b]) for r in rows]
+                for j, (n, signed) in enumerate(zip(HASH_WIDTHS[b], HASH_SIGNED[b])):
+                    parts.append(hs.hash_rows([ls[j] for ls in lists], n, signed))
+            return np.concatenate(parts, axis=1)
+        return hs.in_pieces(frame, width, vectors)
     return _pe_hashes
 
 
