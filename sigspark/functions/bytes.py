@@ -10,7 +10,7 @@ stays in JVM expressions.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,26 +24,35 @@ STEP = 1024
 PIECE = 4 << 20
 
 
-def _pieces(blob: bytes | None):
+def _uint8(blob) -> np.ndarray:
+    """A value (bytes, or the buffer of an Arrow value) as uint8, without a copy."""
+    return np.frombuffer(blob if blob is not None else b"", dtype=np.uint8)
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    """A matrix as one list for each row."""
+    offsets = np.arange(rows.shape[0] + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
+
+
+def _pieces(blob):
     """A value as uint8 arrays of bounded size (views, no copies)."""
-    a = np.frombuffer(blob if blob is not None else b"", dtype=np.uint8)
+    a = _uint8(blob)
     return [a[i:i + PIECE] for i in range(0, len(a), PIECE)]
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def byte_histogram_udf(content: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def byte_histogram_udf(content: pa.Array) -> pa.Array:
     """256 raw byte counts per row (``ft_byte_histogram`` raw form)."""
-    out = []
-    for blob in content:
-        counts = np.zeros(256, dtype=np.int64)
-        for piece in _pieces(blob):
+    out = np.zeros((len(content), 256), dtype=np.int64)
+    for counts, value in zip(out, content):
+        for piece in _pieces(value.as_buffer()):
             counts += np.bincount(piece, minlength=256)
-        out.append(counts)
-    return pd.Series(out)
+    return _lists(out)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def byte_entropy_histogram_udf(content: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def byte_entropy_histogram_udf(content: pa.Array) -> pa.Array:
     """16x16 byte/entropy counts per row, flattened row-major (``ft_byte_entropy`` raw form).
 
     Windows of 2048 bytes every 1024 bytes; a file shorter than one window is
@@ -51,11 +60,10 @@ def byte_entropy_histogram_udf(content: pd.Series) -> pd.Series:
     Entropy bin = int(2 * 2 * H4) where H4 is the entropy of the high nibbles,
     clamped to 15. Computed in float32 like the reference.
     """
-    out = []
-    for blob in content:
-        a = np.frombuffer(blob if blob is not None else b"", dtype=np.uint8)
+    out = np.zeros((len(content), 256), dtype=np.int64)
+    for r, value in enumerate(content):
+        a = _uint8(value.as_buffer())
         if a.shape[0] == 0:
-            out.append(np.zeros(256, dtype=np.int64))
             continue
         if a.shape[0] < WINDOW:
             c = np.bincount(a >> 4, minlength=16).reshape(1, 16)
@@ -66,10 +74,8 @@ def byte_entropy_histogram_udf(content: pd.Series) -> pd.Series:
             terms = np.where(c > 0, -p * np.log2(np.where(c > 0, p, np.float32(1))), np.float32(0))
         h = terms.sum(axis=1, dtype=np.float32) * np.float32(2)
         hbin = np.minimum((h * np.float32(2)).astype(np.int64), 15)
-        hist = np.zeros((16, 16), dtype=np.int64)
-        np.add.at(hist, hbin, c)
-        out.append(hist.ravel())
-    return pd.Series(out)
+        np.add.at(out[r].reshape(16, 16), hbin, c)
+    return _lists(out)
 
 
 def _window_nibble_counts(a: np.ndarray, piece: int = 1 << 24) -> np.ndarray:
@@ -97,7 +103,7 @@ _PRINTABLE_SCHEMA = T.StructType([
 ])
 
 
-def printable_runs(blob: bytes | None) -> tuple[int, int, np.ndarray]:
+def printable_runs(blob) -> tuple[int, int, np.ndarray]:
     """(runs, their bytes, counts of the 96 printable values) over runs of >= 5 bytes in 0x20..0x7f.
 
     A run that is open at the end of a piece is carried on as a length and counts.
@@ -138,10 +144,10 @@ def printable_runs(blob: bytes | None) -> tuple[int, int, np.ndarray]:
     return runs, int(dist.sum()), dist
 
 
-@F.pandas_udf(_PRINTABLE_SCHEMA)
-def printable_stats_udf(content: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(_PRINTABLE_SCHEMA)
+def printable_stats_udf(content: pa.Array) -> pa.Array:
     """Statistics of runs of >= 5 bytes in 0x20..0x7f (``ft_strings`` raw scalars)."""
-    found = [printable_runs(blob) for blob in content]
+    found = [printable_runs(value.as_buffer()) for value in content]
     numstrings = np.array([f[0] for f in found], dtype=np.int64)
     printables = np.array([f[1] for f in found], dtype=np.int64)
     dist = np.array([f[2] for f in found], dtype=np.int64).reshape(len(found), 96)
@@ -150,13 +156,9 @@ def printable_stats_udf(content: pd.Series) -> pd.DataFrame:
         p = dist.astype(np.float32) / np.maximum(printables, 1)[:, None].astype(np.float32)
         terms = np.where(dist > 0, -p * np.log2(np.where(dist > 0, p, np.float32(1))), np.float32(0))
     entropy = terms.sum(axis=1, dtype=np.float32).astype(np.float64)
-    return pd.DataFrame({
-        "numstrings": numstrings,
-        "avlength": avlength.astype(np.float64),
-        "printables": printables,
-        "printabledist": list(dist),
-        "entropy": entropy,
-    })
+    return pa.StructArray.from_arrays(
+        [pa.array(numstrings), pa.array(avlength.astype(np.float64)), pa.array(printables), _lists(dist), pa.array(entropy)],
+        names=["numstrings", "avlength", "printables", "printabledist", "entropy"])
 
 
 # ---- JVM-side expressions over the counts -------------------------------------------------
