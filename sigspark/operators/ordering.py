@@ -10,6 +10,8 @@ is still split over several buckets by the tie-breaking columns.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +38,20 @@ def range_bucket(df: DataFrame, order_cols: list[str], n: int | None = None, des
         return F.lit(0)
     bounds = sorted({sample[(len(sample) * i) // n] for i in range(1, n)})
     types = {f.name: f.dataType for f in df.schema.fields}
-    lit_bounds = F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(f"k{j}") for j, (c, v) in enumerate(zip(order_cols, b))])
-                           for b in bounds])
+    def literal(b):
+        return F.struct(*[F.lit(v).cast(types[c]).alias(f"k{j}") for j, (c, v) in enumerate(zip(order_cols, b))])
+
+    def not_above(some, r):
+        return F.size(F.filter(some, lambda b: b <= r))
+
+    # two steps of about sqrt(n) comparisons: the run of bounds, then the place in it; lambda variables hold row and run
+    step = max(1, math.isqrt(len(bounds)))
+    runs = [F.array(*map(literal, bounds[i:i + step])) for i in range(0, len(bounds), step)]
+    heads, runs = F.array(*map(literal, bounds[::step])), F.array(*runs)
     row = F.struct(*[F.col(c).alias(f"k{j}") for j, c in enumerate(order_cols)])
-    asc = F.size(F.filter(lit_bounds, lambda b: b <= row))
+    place = F.flatten(F.transform(F.array(row), lambda r: F.transform(F.array(not_above(heads, r)), lambda h: F.when(
+        h > 0, (h - 1) * step + not_above(F.get(runs, h - 1), r)).otherwise(0))))
+    asc = F.element_at(place, 1)
     return (F.lit(len(bounds)) - asc) if descending else asc
 
 

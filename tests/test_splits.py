@@ -61,3 +61,17 @@ def test_stratified_sample_is_exact_with_repeated_keys(spark):
     assert again[0] == again[1]
     one = spark.createDataFrame([(1, 0)] * 50, "id int, y int")
     assert sp.stratified_sample(one, "y", "id", 20).count() == 20
+
+
+def test_range_buckets_compare_in_two_steps(spark):
+    from sigspark.operators.ordering import range_bucket
+    df = spark.range(0, 5000, 1, 4).select((F.col("id") * 7919 % 5000).alias("a"), F.col("id").alias("b"))
+    for n in (2, 3, 50, 200):
+        for descending in (False, True):
+            got = df.select("a", "b", range_bucket(df, ["a", "b"], n, descending).alias("x")).collect()
+            ids = [r["x"] for r in sorted(got, key=lambda r: (r["a"], r["b"]), reverse=descending)]
+            assert ids == sorted(ids) and set(ids) == set(range(n))
+    nulls = spark.createDataFrame([(None,), (1,), (2,)], "a int")
+    assert {r[0]: r[1] for r in nulls.select("a", range_bucket(nulls, ["a"], 2)).collect()}[None] == 0
+    plan = df.select(range_bucket(df, ["a", "b"], 200).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("filter(") == 2                               # the heads of the runs, then one run
