@@ -233,13 +233,14 @@ def train_classifier(df: DataFrame, model_type: str, params: dict | None = None,
 
 def evaluate(model: TrainedModel, df: DataFrame, y: str = "y", threshold: float | None = None,
              features: str = "features") -> DataFrame:
-    """``met_binary_report`` / ``met_multiclass_report`` for a trained model."""
+    """``met_binary_report`` / ``met_multiclass_report`` for a trained model; the rows are scored once and written."""
     s = scores_of(model, df, features)
+    s = materialise(s.select(F.col(y).alias("y"), "score" if model.problem_type == "binary" else "scores"), "eval-scores")
     if model.problem_type == "binary":
-        return mt.binary_report(s.select(F.col(y).alias("y"), "score"), model.threshold if threshold is None else threshold,
+        return mt.binary_report(s, model.threshold if threshold is None else threshold,
                                 validation_threshold=model.threshold, validation_f1=model.validation_f1)
     cls = F.array(*[F.lit(c) for c in model.classes])
-    return mt.multiclass_report(s.select(F.col(y).alias("y"), "scores", cls.alias("classes")))
+    return mt.multiclass_report(s.select("y", "scores", cls.alias("classes")))
 
 
 # ---- persistence ---------------------------------------------------------------------------
