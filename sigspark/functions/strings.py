@@ -1,14 +1,23 @@
 """Printable strings of file content and the string-indicator (IOC) counts.
 
 Strings are extracted JVM-side with ``regexp_extract_all`` on an ISO-8859-1
-decode of the bytes (one char per byte), so no Python is involved. Each
+decode of the bytes (one char per byte). Each
 indicator value is the number of *strings* that match its pattern
-(``size(filter(strings, s -> s rlike p))``), not the number of matches.
+(``size(filter(strings, s -> s rlike p))``), not the number of matches. An
+Arrow UDF first tells which indicators' texts a file holds at all; only those
+are counted string by string.
 """
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import bytes as fb
 
 PRINTABLE_RUN = r"[\x20-\x7f]{5,}"
 
@@ -101,6 +110,23 @@ IOC_PATTERNS: list[tuple[str, str, bool]] = [
     ("window", r"window", True),
 ]
 
+#: Cheap tests without which a pattern cannot match (any one of them has to hold), so that few strings reach the pattern
+#: itself: texts that every match contains, a simpler pattern of its inside, or (of ignored case) a lower-cased text.
+NEEDS = {
+    "url": ("://",),
+    "ipv6_addr": (":",),
+    "file_path": ("C:/",),
+    "registry_key": ("KHEY_", "KHLM", "HKCU"),
+    "base64string": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ",),
+    ".click(": ("click",),
+}
+NEEDS_PATTERN = {
+    "ipv4_addr": r"\.[0-9]{1,3}\.",
+    "ipv6_addr": r":[0-9A-Fa-f]{0,4}:",
+    "mac_addr": r"[:-][0-9A-Fa-f]{2}[:-]",
+    "email_addr": r"[:-][0-9A-Fa-f]{2}[:-]",
+}
+
 # Vector slot of each indicator: position of its name in sorted order.
 IOC_NAMES_SORTED = sorted(name for name, _, _ in IOC_PATTERNS)
 IOC_INDEX = {name: i for i, name in enumerate(IOC_NAMES_SORTED)}
@@ -127,32 +153,93 @@ def is_literal(pattern: str) -> bool:
     return not any(ch in _REGEX_META for ch in pattern)
 
 
-def ioc_counts(strings: Column, lowered: Column | None = None) -> Column:
+#: (name, texts, ignore case): one of the texts stands in every string that the indicator counts.
+HELD = [(name, tuple((x.lower() if ci else x).encode() for x in ((p,) if is_literal(p) else NEEDS[name])), ci)
+        for name, p, ci in IOC_PATTERNS if is_literal(p) or name in NEEDS]
+HELD_INDEX = {name: i for i, (name, _, _) in enumerate(HELD)}
+_OVERLAP = max(len(x) for _, texts, _ in HELD for x in texts) - 1
+
+
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def held_udf(content: pa.Array) -> pa.Array:
+    """Whether a file holds one of the texts of each indicator of ``HELD``; bytes in pieces that overlap."""
+    out = np.zeros((len(content), len(HELD)), dtype=bool)
+    for row, value in zip(out, content):
+        if not value.is_valid:
+            row[:] = True                   # counted as ever: NULL
+            continue
+        found, view = [False] * len(HELD), memoryview(value.as_buffer())
+        for lo in range(0, len(view), fb.PIECE):
+            plain = bytes(view[lo:lo + fb.PIECE + _OVERLAP])
+            lowered = plain.lower()
+            for i, (_, texts, ci) in enumerate(HELD):
+                found[i] = found[i] or any(x in (lowered if ci else plain) for x in texts)
+        row[:] = found
+    return fb._lists(out)
+
+
+def _repeated() -> dict[tuple[str, bool], str]:
+    """Patterns that stand under several names -> the first of these."""
+    first: dict[tuple[str, bool], str] = {}
+    for name, p, ci in IOC_PATTERNS:
+        first.setdefault((p, ci), name)
+    return {k: n for k, n in first.items() if sum((p, ci) == k for _, p, ci in IOC_PATTERNS) > 1}
+
+
+def _pattern_count(name: str, pattern: str, ignore_case: bool, strings: Column) -> Column:
+    """Number of strings that match; those that fail the pattern's cheap tests are not tried."""
+    def test(s):
+        found = s.rlike(regex(pattern, ignore_case))
+        if name in NEEDS_PATTERN:
+            found = s.rlike(NEEDS_PATTERN[name]) & found
+        if name in NEEDS:
+            text = F.lower(s) if ignore_case else s
+            found = reduce(lambda a, b: a | b, [text.contains(n) for n in NEEDS[name]]) & found
+        return found
+
+    return F.size(F.filter(strings, test)).cast("bigint")
+
+
+def ioc_counts(strings: Column, lowered: Column | None = None, known: dict[str, Column] | None = None,
+               held: Column | None = None) -> Column:
     """Struct of 77 counts: number of strings matching each indicator pattern.
 
     Patterns without regex syntax are tested with ``contains`` (on the
     lower-cased string for case-insensitive ones); this is exact because the
     strings are ASCII (0x20..0x7f) and Java's ``(?i)`` folds ASCII only.
-    Everything else uses ``rlike``."""
+    Everything else uses ``rlike``, after cheap tests that no match fails.
+    ``known``: counts by name that the caller has already; ``held``: ``held_udf`` of the file."""
     if lowered is None:
         lowered = F.transform(strings, lambda s: F.lower(s))
     cols = []
     for name, p, ci in IOC_PATTERNS:
-        if is_literal(p):
+        if name in (known or {}):
+            count = known[name]
+        elif is_literal(p):
             src, lit = (lowered, p.lower()) if ci else (strings, p)
-            cols.append(F.size(F.filter(src, _contains(lit))).cast("bigint").alias(name))
+            count = F.size(F.filter(src, _contains(lit))).cast("bigint")
         else:
-            cols.append(F.size(F.filter(strings, _matcher(regex(p, ci)))).cast("bigint").alias(name))
+            count = _pattern_count(name, p, ci, strings)
+        if held is not None and name in HELD_INDEX:
+            count = F.when(~held[HELD_INDEX[name]], F.lit(0).cast("bigint")).otherwise(count)
+        cols.append(count.alias(name))
     return F.struct(*cols)
 
 
 def with_ioc_counts(df, content: str = "content", out: str = "iocs"):
-    """Adds the indicator-count struct, with the strings and their lower-cased
-    copy materialised once as columns (an expression argument would be
-    re-evaluated by every one of the 77 filters)."""
-    d = (df.withColumn("__strs", printable_strings(F.col(content)))
+    """Adds the indicator-count struct, with the strings, their lower-cased
+    copy and the counts of repeated patterns materialised once as columns (an
+    expression argument would be re-evaluated by every one of the 77 filters)."""
+    d = (df.withColumn("__held", held_udf(F.col(content)))
+           .withColumn("__strs", printable_strings(F.col(content)))
            .withColumn("__lstrs", F.transform(F.col("__strs"), lambda s: F.lower(s))))
-    return d.withColumn(out, ioc_counts(F.col("__strs"), F.col("__lstrs"))).drop("__strs", "__lstrs")
+    shared = _repeated()
+    own = {k: f"__n_{i}" for i, k in enumerate(shared)}
+    for (p, ci), first in shared.items():
+        d = d.withColumn(own[p, ci], _pattern_count(first, p, ci, F.col("__strs")))
+    known = {name: F.col(own[p, ci]) for name, p, ci in IOC_PATTERNS if (p, ci) in own}
+    return d.withColumn(out, ioc_counts(F.col("__strs"), F.col("__lstrs"), known, F.col("__held"))) \
+        .drop("__held", "__strs", "__lstrs", *own.values())
 
 
 def _contains(lit: str):
@@ -164,10 +251,6 @@ def ioc_count_map(strings: Column) -> Column:
     return count_map(ioc_counts(strings))
 
 
-def _matcher(rx: str):
-    return lambda s: s.rlike(rx)
-
-
 def count_map(counts: Column) -> Column:
     """Indicator-count struct -> map of the non-zero counts."""
     entries = F.array(*[F.struct(F.lit(n).alias("k"), counts[n].alias("v")) for n in IOC_NAMES_SORTED])

@@ -19,7 +19,7 @@ from ..operators import cascade as cs
 from ..operators import labels as lb
 from ..operators import ml
 from ..operators import splits as sp
-from ..session import checkpoint_dir, scratch_path
+from ..session import materialise, scratch_path
 from ..sources import corpus as cp
 from ..sources.tables import table
 
@@ -326,8 +326,7 @@ def q_ml_predict_file(spark, sf):
     blocks = ["general", "histogram", "byteentropy", "strings"]
     d = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
     v = vectorize_records(add_raw_from_bytes(d, "content", "raw"), "raw", blocks).select("doc_id", "features")
-    checkpoint_dir(spark)
-    v = v.checkpoint(eager=True)  # reliable checkpoint in the shared folder: featurise once, train and score from it
+    v = materialise(v, "file-vectors")  # featurised once; training reads keys without vectors, joins see the real size
     lab = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("y"))
     train = v.join(lab, "doc_id").withColumn("sha256", F.col("doc_id").cast("string"))
     m = ml.train_classifier(train, "logreg", {"maxIter": 30, "regParam": 0.01}, "binary", seed=3)
