@@ -41,17 +41,22 @@ def sentences(text: Column) -> Column:
     return F.split(text, "[.]")
 
 
-#: Parts of the alphabet.
-ALPHABET = [("a", "b"), ("c", "e"), ("f", "k"), ("l", "o"), ("p", "s"), ("t", "z")]
+def ratio(x: Column, n: Column) -> Column:
+    """x / n as the oracles divide: by 0 gives NaN or infinity (Spark's ``/`` would end the job there)."""
+    by_zero = F.when(x > 0, F.lit(float("inf"))).when(x < 0, F.lit(float("-inf"))).when(x == 0, F.lit(float("nan")))
+    return F.when(n == 0, by_zero).otherwise(x / n)
+
+
+#: Parts of the alphabet: the letters from the first, below the second.
+ALPHABET = [("a", "c"), ("c", "f"), ("f", "l"), ("l", "p"), ("p", "t"), ("t", "{")]
 #: Columns of the split texts, made once: an expression would be split again wherever it is read.
-WORDS, SENTENCES, HEADS, LETTERS = "__words", "__sentences", "__heads", "__letters"
+WORDS, SENTENCES, LETTERS = "__words", "__sentences", "__letters"
 
 
 def with_parts(d: DataFrame) -> DataFrame:
-    """The documents with their words, words with first letters, and sentences as columns."""
+    """The documents with their words, the words' first letters, and sentences as columns."""
     split = d.withColumn(WORDS, words(F.col("text"))).withColumn(SENTENCES, sentences(F.col("text")))
-    heads = split.withColumn(HEADS, F.transform(WORDS, lambda w: F.struct(F.substring(w, 1, 1).alias("l"), w.alias("w"))))
-    return heads.withColumn(LETTERS, F.sort_array(F.array_distinct(F.col(HEADS)["l"])))
+    return split.withColumn(LETTERS, F.sort_array(F.array_distinct(F.transform(WORDS, lambda w: F.substring(w, 1, 1)))))
 
 
 def raw_struct() -> Column:
@@ -73,21 +78,21 @@ def raw_struct() -> Column:
     sents = F.col(SENTENCES)
     secs = F.transform(sents, lambda s: F.struct(
         F.lower(F.trim(s)).alias("name"), F.length(s).alias("size"), ((F.length(s) % 80) / 10.0).alias("entropy"),
-        (F.length(s) + 10).alias("vsize"), (F.length(s) / n).alias("size_ratio"),
+        (F.length(s) + 10).alias("vsize"), ratio(F.length(s), n).alias("size_ratio"),
         (F.length(s) / (F.length(s) + 10)).alias("vsize_ratio"),
         F.when(F.length(s) % 3 == 0, _str_array(["MEM_READ", "MEM_EXECUTE"]))
          .when(F.length(s) % 3 == 1, _str_array(["MEM_WRITE"])).otherwise(F.array().cast("array<string>")).alias("props")))
     section = F.struct(F.lower(F.trim(F.try_element_at(sents, F.lit(1)))).alias("entry"), secs.alias("sections"),
-                       F.struct((n % 100).alias("size"), ((n % 100) / n).alias("size_ratio"), F.lit(1.5).alias("entropy")).alias("overlay"))
+                       F.struct((n % 100).alias("size"), ratio(n % 100, n).alias("size_ratio"), F.lit(1.5).alias("entropy")).alias("overlay"))
     ws = F.col(WORDS)
     letters = F.col(LETTERS)
     # words are dealt to parts of the alphabet first, so that a letter looks through those of its part only
     parts = F.transform(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ALPHABET]), lambda p: F.struct(
-        F.filter(letters, lambda l: (l >= p["a"]) & (l <= p["b"])).alias("letters"),
-        F.filter(HEADS, lambda h: (h["l"] >= p["a"]) & (h["l"] <= p["b"])).alias("heads")))
+        F.filter(letters, lambda l: (l >= p["a"]) & (l < p["b"])).alias("letters"),
+        F.filter(ws, lambda w: (w >= p["a"]) & (w < p["b"])).alias("words")))
     imports = F.map_from_entries(F.flatten(F.transform(parts, lambda p: F.transform(p["letters"], lambda l: F.struct(
         F.when(l < "m", F.concat(F.upper(l), F.lit(".DLL"))).otherwise(F.concat(l, F.lit(".dll"))).alias("k"),
-        F.transform(F.filter(p["heads"], lambda h: h["l"] == l), lambda h: h["w"]).alias("v"))))))
+        F.filter(p["words"], lambda w: w.startswith(l)).alias("v"))))))
     exports = F.filter(ws, lambda w: F.length(w) >= 9)
     dd = F.concat(F.array(F.struct((doc % 2).alias("has_relocs"), F.lit(0).alias("has_dynamic_relocs"),
                                    F.lit(None).cast("string").alias("name"), F.lit(None).cast("bigint").alias("size"),
