@@ -77,12 +77,15 @@ def q_prj_multihot(spark, sf):
     f = _words(fam(spark, sf))
     m = lb.build_label_map(f.where("split = 'train'"), "words", class_min=200)
     mh = lb.multihot(f.select("doc_id", "words"), "doc_id", "words", m)
-    # zeros are removed natively before the sums, so that one lambda a cell is left of three
-    slots = F.array_remove(F.transform("y_multi", lambda x, i: x * i), 0)
-    return mh.select("doc_id",
-                     F.size(F.array_remove("y_multi", 0)).alias("n_hot"),
-                     F.aggregate(slots, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("checksum"),
-                     F.size("y_multi").alias("k"))
+    # every cell of the arrays is read, by generated code: a lambda a cell was most of the time. The first cell of a row
+    # stays whatever it holds, so that each row does; rows are told apart by a number, as ids may repeat
+    rows = mh.select("doc_id", F.monotonically_increasing_id().alias("row"), F.size("y_multi").alias("k"), "y_multi")
+    cells = rows.select("doc_id", "row", "k", F.posexplode_outer("y_multi").alias("at", "x"))
+    kept = cells.where(F.col("x").isNull() | (F.col("x") != 0) | (F.col("at") == 0))
+    sums = kept.groupBy("row", "doc_id", "k").agg(
+        F.count_if(F.col("x") != 0).cast("int").alias("n_hot"),
+        F.coalesce(F.sum(F.col("x").cast("bigint") * F.col("at")), F.lit(0).cast("bigint")).alias("checksum"))
+    return sums.select("doc_id", "n_hot", "checksum", "k")
 
 
 def q_flt_ignore_tags(spark, sf):
